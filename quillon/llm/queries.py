@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op03_packing import op3_packing
 from .op07_bpe import op7_bpe
+from .op08_simhash import op8_simhash
 from .op09_tiff import op9_tiff
 from .op10_shard import op10_shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op7_bpe, op9_tiff, op10_shard)}
+    return {f.__name__: f for f in (op3_packing, op7_bpe, op8_simhash, op9_tiff, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
