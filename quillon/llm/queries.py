@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op01_substring import OP1_SQL, op1_substring
 from .op03_packing import op3_packing
 from .op07_bpe import op7_bpe
 from .op08_simhash import op8_simhash
@@ -14,8 +15,8 @@ from .op10_shard import op10_shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op7_bpe, op8_simhash, op9_tiff, op10_shard)}
+    return {f.__name__: f for f in (op1_substring, op3_packing, op7_bpe, op8_simhash, op9_tiff, op10_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring": OP1_SQL}
