@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op01_substring import OP1_SQL, op1_substring
+from .op02_language import language_of_pages, op2_language
 from .op03_packing import op3_packing
+from .op04_itq import op4_itq
+from .op05_urls import op5_urls
+from .op06_toxicity import op6_toxicity
 from .op07_bpe import op7_bpe
 from .op08_simhash import op8_simhash
 from .op09_tiff import op9_tiff
@@ -15,7 +19,7 @@ from .op10_shard import op10_shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring, op3_packing, op7_bpe, op8_simhash, op9_tiff, op10_shard)}
+    return {f.__name__: f for f in (op1_substring, op2_language, op3_packing, op4_itq, op5_urls, op6_toxicity, op7_bpe, op8_simhash, op9_tiff, op10_shard, language_of_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
