@@ -25,16 +25,12 @@ def labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index reachable from each of n indices by links a-b."""
     lab = np.arange(n)
     while len(a):
-        low = np.minimum(lab[a], lab[b])
-        before = lab.copy()
-        np.minimum.at(lab, lab[a], low)
-        np.minimum.at(lab, lab[b], low)
-        np.minimum.at(lab, a, low)
-        np.minimum.at(lab, b, low)
+        x, y = lab[a], lab[b]  # roots
+        low = np.minimum(x, y)
+        np.minimum.at(lab, x, low)
+        np.minimum.at(lab, y, low)
         while not np.array_equal(lab, up := lab[lab]):
             lab = up
-        if np.array_equal(lab, before):
-            break
         apart = lab[a] != lab[b]
         a, b = a[apart], b[apart]
     return lab
