@@ -136,7 +136,7 @@ def pack_lzw(data: bytes) -> bytes:
         put(known[run] if len(run) > 1 else run[0])
         known[longer] = size
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
         if size == 4094:
             put(CLEAR)
             known.clear()
@@ -145,7 +145,7 @@ def pack_lzw(data: bytes) -> bytes:
     if run:
         put(known[run] if len(run) > 1 else run[0])
         size += 1
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
+        width = 9 if size < 512 else 10 if size < 1024 else 11 if size < 2048 else 12
     put(STOP)
     if held:
         out.append(hold << (8 - held) & 255)
