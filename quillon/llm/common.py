@@ -65,6 +65,16 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def carried(df: DataFrame, own: list[str]):
+    """The columns of df as one struct column __row, without those that the operator makes itself; so no name can clash within the operator."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in own)).alias("__row")
+
+
+def with_row(df: DataFrame, ddl: str) -> T.StructType:
+    """The type of an operator's output: __row as in df, then ddl."""
+    return T.StructType([df.schema["__row"], *T.StructType.fromDDL(ddl).fields])
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts_of
+from .common import carried, materialize, small_batches, table, texts_of, with_row
 from .parsing import factors, gram_hashes, longest_matches, window_anchors, word_hashes
 
 WINDOW = 35
@@ -35,6 +35,7 @@ CROWDED = 10_000
 #: Words of the blocks that are indexed together.
 CHUNK = 200_000
 KEYS = ["__k1", "__k2"]
+OWN = ["n_words", "n_removed", "kept", "spans"]
 
 
 def passages(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def _parse(window: int, chunk: int):
     return run
 
 
-def _remove(names: list[str], kinds: dict[str, pa.DataType]):
+def _remove():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
@@ -144,7 +145,7 @@ def _remove(names: list[str], kinds: dict[str, pa.DataType]):
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if found else words).decode())
             own = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], [*names, "n_words", "n_removed", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *own], ["__row", *OWN])
 
     return run
 
@@ -152,9 +153,8 @@ def _remove(names: list[str], kinds: dict[str, pa.DataType]):
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, chunk: int = CHUNK) -> DataFrame:
     """All columns of df, n_words, n_removed, kept (words left, joined by one space) and spans (array of from and to, in words)."""
     small_batches(df.sparkSession)
-    names = [c for c in df.columns if c not in ("n_words", "n_removed", "kept", "spans")]
     k1, k2 = F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(2), F.col(text), F.col(key)).alias("__k2")
-    docs = df.select(*names, F.col(text).alias("__text"), k1, k2)
+    docs = df.select(carried(df, OWN), F.col(text).alias("__text"), k1, k2)
 
     met = materialize(docs.select(*KEYS, "__text").mapInArrow(_index(window, gram), "__k1 long, __k2 long, anchor long, said long, first int, n int"), "passages")
     again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("said").alias("a"), F.max("said").alias("b")).where("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
@@ -182,9 +182,9 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     spans = simple.unionAll(whole).unionAll(parsed).unionAll(crossed)
     spans = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
-    joined = docs.join(spans, KEYS, "left").select(*names, "__text", "__spans")
-    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"])
-    return joined.mapInArrow(_remove(names, {}), ddl)
+    joined = docs.join(spans, KEYS, "left").select("__row", "__text", "__spans")
+    out = joined.mapInArrow(_remove(), with_row(docs, "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"))
+    return out.select("__row.*", *OWN)
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

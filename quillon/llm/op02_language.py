@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, lower_ascii, materialize, small_batches, table, texts_of
+from .common import carried, join_checked, lower_ascii, materialize, small_batches, table, texts_of, with_row
 
 SAMPLE = 6_000
 BUCKETS = 1 << 15
@@ -81,10 +81,9 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", declared: s
     """All columns and language, posterior (of that language), text_language (by the text alone) and rejected."""
     small_batches(df.sparkSession)
     own = ["language", "posterior", "text_language", "rejected"]
-    names = [c for c in df.columns if c not in own]
     languages = model.languages if model else []
     column = lambda c: F.col(c) if c else F.lit(None).cast("string")
-    rows = df.select(*names, F.col(text).alias("__text"), column(declared).alias("__declared"), column(host).alias("__host"), column(suffix).alias("__suffix"))
+    rows = df.select(carried(df, own), F.col(text).alias("__text"), column(declared).alias("__declared"), column(host).alias("__host"), column(suffix).alias("__suffix"))
 
     def counted(*by: str) -> DataFrame:
         """Declarations by language, as an array in the languages' order."""
@@ -132,10 +131,10 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", declared: s
                 for o, x in zip(out, (languages[best], float(p[best]), languages[int(np.argmax(by_text))], bool(p[best] < accept)), strict=True):
                     o.append(x)
             arrays = [pa.array(o, k) for o, k in zip(out, (pa.string(), pa.float64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, *own])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *arrays], ["__row", *own])
 
-    ddl = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "language string, posterior double, text_language string, rejected boolean"])
-    return rows.select(*names, "__text", "__declared", "__by_host", "__by_suffix").mapInArrow(run, ddl)
+    rows = rows.select("__row", "__text", "__declared", "__by_host", "__by_suffix")
+    return rows.mapInArrow(run, with_row(rows, "language string, posterior double, text_language string, rejected boolean")).select("__row.*", *own)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

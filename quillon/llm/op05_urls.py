@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, lower_ascii, materialize, table
+from .common import carried, join_checked, lower_ascii, materialize, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 SAMPLE = 20_000
@@ -27,6 +27,7 @@ DEPTH = 3
 BINS = 16
 RATE = 0.4
 RIDGE = 1.0
+OWN = ["host", "path", "rule", "verdict", "p_block"]
 #: Labelled URLs that a suffix's share is shrunk by.
 SUFFIX_STRENGTH = 20.0
 #: Fixed value: what entropy tells apart; all other characters count as one.
@@ -73,11 +74,11 @@ def suffixes(host: Column) -> tuple[Column, Column]:
 
 
 def features(df: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
-    """All columns, host, path, rule, ruled (the rule's verdict), __suffix, __domain and __x (array of the lexical features)."""
-    rows = df.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    """__row (all columns), url, host, path, rule, ruled (the rule's verdict), __suffix, __domain and __x (array of the lexical features)."""
+    rows = df.select(carried(df, OWN), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     suffix, domain = suffixes(F.col("host"))
-    return rows.withColumns({"rule": rule, "ruled": verdict, "__suffix": suffix, "__domain": domain, "__x": F.array(*lexical(F.col(url), F.col("host"), F.col("path")))})
+    return rows.withColumns({"rule": rule, "ruled": verdict, "__suffix": suffix, "__domain": domain, "__x": F.array(*lexical(F.col("url"), F.col("host"), F.col("path")))})
 
 
 class Trees:
@@ -109,7 +110,7 @@ class Trees:
 def fit(sample: DataFrame, n_features: int, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Trees:
     """sample: __x (array<double>) and y (0 or 1), bounded. Every level of a tree is one grouped sum."""
     n, ones = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    share = (ones + 0.5) / (n + 1)
+    share = (ones + 0.25) / (n + 1)
     model = Trees(math.log(share / (1 - share)))
     if not n or ones in (0, n):
         return model
@@ -165,9 +166,8 @@ def fit(sample: DataFrame, n_features: int, trees: int = TREES, depth: int = DEP
 
 def judge(df: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """All columns, host, path, rule, verdict and p_block (the trees' probability, for every URL)."""
-    names = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "p_block", "ruled")]
-    rows = features(df.select(*names), url, rules)
-    labelled = rows.where("ruled is not null").select("__suffix", "__domain", "__x", F.when(F.col("ruled") == "block", 1).otherwise(0).alias("y"), F.xxhash64(url).alias("__o"))
+    rows = features(df, url, rules)
+    labelled = rows.where("ruled is not null").select("__suffix", "__domain", "__x", F.when(F.col("ruled") == "block", 1).otherwise(0).alias("y"), F.xxhash64("url").alias("__o"))
     shares = {}
     for by, name in (("__suffix", "suffix_share"), ("__domain", "domain_share")):
         counts = labelled.groupBy(by).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
@@ -188,7 +188,7 @@ def judge(df: DataFrame, url: str = "url", rules=RULES, sample: int = SAMPLE) ->
     own = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     scored = with_shares(rows, own).withColumn("p_block", 1 / (1 + F.exp(-model.score(F.col("__x")))))
     verdict = F.coalesce("ruled", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).select(*names, "host", "path", "rule", "verdict", "p_block")
+    return scored.withColumn("verdict", verdict).select("__row.*", *OWN)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts_of
+from .common import carried, materialize, small_batches, table, texts_of, with_row
 
 SAMPLE = 5_000
 FEATURES = 8_192
@@ -164,7 +164,6 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     """All columns and p_toxic, severity (expected grade), grade (most likely) and rejected (p_toxic >= REJECT)."""
     small_batches(docs.sparkSession)
     own = ["p_toxic", "severity", "grade", "rejected"]
-    names = [c for c in docs.columns if c not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found(model.wanted) if model else None
@@ -176,10 +175,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 severity.append(float(p.sum()))
                 grade.append(int(np.argmax(np.concatenate([[1.0], p]) - np.concatenate([p, [0.0]]))))
             arrays = [pa.array(p_toxic), pa.array(severity), pa.array(grade, pa.int32()), pa.array([p >= REJECT for p in p_toxic])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *arrays], [*names, *own])
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *arrays], ["__row", *own])
 
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "p_toxic double, severity double, grade int, rejected boolean"])
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, ddl)
+    rows = docs.select(carried(docs, own), F.col(text).alias("__text"))
+    return rows.mapInArrow(run, with_row(rows, "p_toxic double, severity double, grade int, rejected boolean")).select("__row.*", *own)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,14 +58,15 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp (long)."""
+    """__key and fp (long)."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts_of(batch, "__text")], pa.int64())], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t) for t in texts_of(batch, "__text")], pa.int64())], ["__key", "fp"])
 
-    return df.select(key, F.col(text).alias("__text")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    return rows.mapInArrow(run, f"__key {rows.schema['__key'].dataType.simpleString()}, fp long")
 
 
 def checks(fine: bool) -> list[int]:
@@ -202,13 +203,13 @@ def links(fps: DataFrame, distance: int = DISTANCE, finer: int = FINER, homes: i
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, finer: int = FINER) -> DataFrame:
     """key, fp (long) and component_id (smallest key reachable)."""
     own = materialize(fingerprints(df, key, text), "fingerprints")
-    least = materialize(own.groupBy("fp").agg(F.min(key).alias("__least")), "fps")
+    least = materialize(own.groupBy("fp").agg(F.min("__key").alias("__least")), "fps")
     found = components(links(least.select("fp"), distance, finer))
     named = least.join(found, least["fp"] == found["node"], "inner").select("fp", "root", "__least")
     smallest = named.groupBy("root").agg(F.min("__least").alias("component_id"))
     linked = named.join(smallest, "root").select("fp", "component_id")
     known = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "__least").alias("component_id"))
-    return own.join(known, "fp").select(key, "fp", "component_id")
+    return own.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

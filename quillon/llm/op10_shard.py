@@ -42,15 +42,14 @@ def shuffle_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     first = F.coalesce(F.sum("__n").over(Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__before", before).join(F.broadcast(groups.select("__group", first.alias("__first"))), "__group").select("__bucket", (F.col("__before") + F.col("__first")).alias("__start"))
 
-    rows = F.struct(F.col(key).alias("__key"), *(F.col(c) for c in kept))
+    rows = F.struct(F.col(key).alias("key"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
     held = df.select(bucket, rows.alias("__row")).groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     mixed = held.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     placed = join_checked(mixed, starts, "__bucket").select("__start", F.posexplode("__rows").alias("__at", "__row"))
-    placed = placed.select(*(F.col(f"__row.{c}") for c in kept), (F.col("__start") + F.col("__at")).alias("place"))
-    most = F.lit(max(1, n)).cast("long")
+    placed = placed.select("__row.row", (F.col("__start") + F.col("__at")).alias("place"))
     shard = F.expr(f"cast((place * {shards}L) div {max(1, n)}L as int)")
-    placed = placed.withColumn("shard", shard)
-    return placed.withColumn("slot", F.col("place") - F.ceil(F.expr(f"(shard * {max(1, n)}L + {shards - 1}L) div {shards}L")).cast("long")) if n else placed.withColumn("slot", most)
+    first = F.expr(f"(shard * {max(1, n)}L + {shards - 1}L) div {shards}L")
+    return placed.withColumn("shard", shard).withColumn("slot", F.col("place") - first).select("row.*", "place", "shard", "slot")
 
 
 def write_shards(df: DataFrame, path: str, files: int = 200) -> None:

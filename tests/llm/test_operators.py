@@ -1,0 +1,307 @@
+"""Operators on small tables, against brute force; odd rows everywhere."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillon.llm import components, op01_substring, op02_language, op03_packing, op04_itq, op05_urls, op06_toxicity, op07_bpe, op08_simhash, op09_tiff, op10_shard, tiff
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DDL = "doc_id long, text string, lang string, source string, n_chars long, __spans string"
+
+
+def corpus():
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6)))
+    base = [" ".join(word() for _ in range(rng.randint(30, 160))) for _ in range(25)]
+    shared = " ".join(word() for _ in range(60))
+    texts = base + base[:5] + [base[6] + " " + shared, shared + "\n" + base[7], base[8].replace(" ", "\t ", 3)]
+    texts += [" ".join(base[9].split()[:-1] + ["changed"]), base[10].upper(), "x y " * 60, "a b c", "", None, None, " \n", "word", "long " + "z" * 20_000]
+    texts += [base[11] + " " + base[12], "Q" + base[13]]
+    rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", None]), None if t is None else len(t), "extra") for i, t in enumerate(texts)]
+    return rows + [rows[3], (None, base[14], "en", None, 5, None), (None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def brute_substring(rows, window=35):
+    words = [WORD.findall(t or "") for t in rows]
+    seen = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                gone.update(range(i, i + window))
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("crowded", [10_000, 0])
+def test_substring(docs, crowded):
+    rows = corpus()
+    want = Counter((r[0], *x) for r, x in zip(rows, brute_substring([r[1] for r in rows]), strict=True))
+    got = op01_substring.substring_dedup(docs, crowded=crowded, chunk=500)
+    assert got.columns == [*docs.columns, "n_words", "n_removed", "kept", "spans"]
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept").collect()) == want
+
+
+def test_substring_empty(empty):
+    assert op01_substring.substring_dedup(empty).count() == 0
+
+
+def test_language(spark, docs, empty):
+    train = spark.createDataFrame([(i, ("the thing and that other " if i % 2 else "le la les que ce une ") * 5, "en" if i % 2 else "fr") for i in range(40)], "doc_id long, text string, lang string")
+    model = op02_language.train(train)
+    rows = spark.createDataFrame([(1, "the other thing", None, "h", None), (2, "les que la", "en", None, None), (3, "", "en", "h", "com"), (4, None, None, None, None), (5, "zzz", "fr", "h", "x"), (5, "zzz", "fr", "h", "x")], "doc_id long, text string, lang string, host string, suffix string")
+    got = op02_language.identify(rows, model, declared="lang", host="host", suffix="suffix").orderBy("doc_id").collect()
+    assert [r["text_language"] for r in got[:4]] == ["en", "fr", "und", "und"]
+    assert [r["language"] for r in got] == ["en", "fr", "und", "und", "fr", "fr"] and [r["rejected"] for r in got] == [False, False, True, True, False, False]
+    assert op02_language.identify(docs, None).where("language <> 'und' or not rejected").count() == 0
+    assert op02_language.train(empty) is None and op02_language.identify(empty, model).count() == 0
+
+
+def test_language_prior_leaves_out_the_row_and_shrinks(spark):
+    model = op02_language.Model(["en", "fr"], np.zeros((op02_language.BUCKETS, 2)))
+    rows = spark.createDataFrame([(i, "a", "fr", "h") for i in range(40)] + [(100, "a", None, "h"), (101, "a", None, "other"), (102, "a", "en", "h")], "doc_id long, text string, lang string, host string")
+    got = {r["doc_id"]: r for r in op02_language.identify(rows, model, declared="lang", host="host").collect()}
+    overall = np.array([2, 41]) / 43
+    no_suffix = (np.array([1, 40]) + 0) * 0  # null suffixes are no evidence
+    host = (np.array([1, 40]) + op02_language.HOST * overall + no_suffix) / (41 + op02_language.HOST)
+    assert got[100]["posterior"] == pytest.approx(host[1]) and got[101]["posterior"] == pytest.approx(overall[1])
+    own = (np.array([0, 40]) + op02_language.HOST * overall) / (40 + op02_language.HOST) * [0.9, 0.1]
+    assert got[102]["posterior"] == pytest.approx(max(own / own.sum()))
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(op07_bpe.vocabulary())
+    rows = corpus()
+    want = Counter((r[0], tuple(lib.encode(r[1] or "", add_special_tokens=False).ids + [1])) for r in rows)
+    pieces = op03_packing.pack(docs, op07_bpe.vocabulary()).collect()
+    ids = lambda p: np.frombuffer(p["ids_le"], "<u4").tolist()
+    seqs, by = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert p["length"] == len(ids(p)) >= 1
+        seqs[p["sequence_id"]].append((p["offset"], p["length"]))
+        by[p["doc_id"], p["doc_tokens"]].append(p)
+    for parts in seqs.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at <= 2048
+    whole = Counter()
+    for (key, n), ps in by.items():
+        copies = sum(p["start"] == 0 for p in ps)
+        tokens = {p["start"] + i: t for p in ps for i, t in enumerate(ids(p))}
+        assert sum(p["length"] for p in ps) == copies * n and sorted(tokens) == list(range(n))
+        whole[key, tuple(tokens[i] for i in range(n))] += copies
+    assert whole == want
+    digest = {(r["sequence_id"], r["offset"]): r["ids_crc32"] for r in op03_packing.packed_digest(op03_packing.pack(docs, op07_bpe.vocabulary())).collect()}
+    assert all(digest[p["sequence_id"], p["offset"]] == zlib.crc32(p["ids_le"]) for p in pieces)
+    assert op03_packing.pack(empty, op07_bpe.vocabulary()).count() == 0
+
+
+def vectors():
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(300, 64))
+    out = [base[i] for i in range(300)]
+    out += [base[i] + rng.normal(size=64) * s for i in range(60) for s in (0.1, 0.2, 0.28)]
+    out += [base[0]] * 5 + [base[1] * 3]
+    rows = [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(out)]
+    odd = [None, [], [0.0] * 64, [float("nan")] * 64, [float("inf")] + [0.0] * 63, [None] + [1.0] * 63, [1.0, 2.0]]
+    return rows + [(1000 + i, v, None) for i, v in enumerate(odd)] + [(None, rows[2][1], 1)]
+
+
+def test_itq(spark):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r["vec_id"]: r for r in op04_itq.near_duplicates(df).collect()}
+    assert len(got) == len(rows)
+    sound = [r for r in rows if r[1] and len(r[1]) == 64 and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    x = np.array([r[1] for r in sound])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T) >= 0.95
+    want = linked.sum(axis=1) - 1
+    found = np.array([got[r[0]]["n_links"] for r in sound])
+    assert (found <= want).all() and found.sum() >= 0.9 * want.sum() > 100
+    for r in rows:
+        if all(r is not s for s in sound):
+            assert (got[r[0]]["n_links"], got[r[0]]["component_id"], got[r[0]]["kept"]) == (0, r[0], True)
+    assert got[300 + 180]["component_id"] == 0 and got[300 + 180]["n_links"] == got[0]["n_links"] >= 5 and not got[300 + 180]["kept"]
+    assert got[None]["component_id"] == 2
+    assert op04_itq.near_duplicates(df.limit(0)).count() == 0
+
+
+URLS = ["http://a.example.com/en/x", "https://www.example.com/en/", "HTTP://WWW.Example.COM/en/1?a=/es/", "http://x.net/es/1", "http://net/fr/", "http://x.net", "http://com", "http://xcom/", "no url", None, "", "://h/p?q#f", "a://b.com/x://c.net/es/", "http://b.org/" + "9" * 3000, "http://x.net/de/?#", "http://x\n.com/a\nb"]
+
+
+def brute_url(url):
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [r for _, r in op05_urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_urls(spark):
+    rows = [(i, u, "kept") for i, u in enumerate(URLS + [f"http://s{i}.{'net/fr' if i % 2 else 'com/de'}/{i}" for i in range(60)] + [URLS[0]] * 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string").repartition(2)
+    got = {r["page_id"]: r for r in op05_urls.judge(df).collect()}
+    says = {r: v for v, r in op05_urls.RULES}
+    assert len(got) == len(rows)
+    for i, u, _ in rows:
+        host, path, rule = brute_url(u)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule), u
+        assert got[i]["verdict"] == says[rule] if rule else got[i]["verdict"] in ("allow", "block")
+    assert op05_urls.judge(df.limit(0)).count() == 0
+    assert {r["verdict"] for r in op05_urls.judge(df.where("page_id in (5, 8, 9)")).collect()} == {"allow"}
+
+
+def test_trees_learn_a_step(spark):
+    rows = [([float(i % 10), float(i % 7)], int((i % 10 > 4) != (i % 7 > 3))) for i in range(700)]
+    df = spark.createDataFrame(rows, "__x array<double>, y int")
+    model = op05_urls.fit(df, 2)
+    wrong = df.where((model.score(F.col("__x")) > 0) != (F.col("y") == 1)).count()
+    assert wrong < 35
+
+
+def test_url_queries_stay_native(spark):
+    df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
+    for frame in (op05_urls.judge(df), op10_shard.shuffle_shards(df, "page_id", "url")):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(1)
+    texts = []
+    for i in range(400):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)]
+        if i % 4 == 0:
+            words[3] = words[9] = rng.choice(["vilea", "vileb"])
+        texts.append((i, " ".join(words), i % 4 == 0))
+    frame = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(x)) for i, _, x in texts] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = op06_toxicity.train(frame, labels.where("doc_id < 300"))
+    got = {r["doc_id"]: r for r in op06_toxicity.score(frame, model).collect()}
+    assert all(got[i]["rejected"] == x for i, _, x in texts if i >= 300)
+    assert all((got[i]["severity"] > 0.8) == x for i, _, x in texts)
+    odd = op06_toxicity.score(docs, model)
+    assert odd.count() == docs.count() and odd.where("(text is null or trim(text) = '') and (severity > 0 or rejected)").count() == 0
+    assert op06_toxicity.train(frame, labels.where("toxic = 0")) is None and op06_toxicity.train(empty, labels) is None
+    assert op06_toxicity.score(docs, None).where("rejected").count() == 0 and op06_toxicity.score(empty, model).count() == 0
+
+
+def test_bpe(docs, empty):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(op07_bpe.vocabulary())
+    want = Counter()
+    for r in corpus():
+        ids = lib.encode(r[1] or "", add_special_tokens=False).ids
+        want[r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in op07_bpe.round_trip(docs, op07_bpe.vocabulary()).collect()) == want
+    coded = op07_bpe.encode(docs, op07_bpe.vocabulary(), keep=("doc_id", "text"))
+    back = op07_bpe.decode(coded.withColumnRenamed("text", "said"), op07_bpe.vocabulary(), keep=("doc_id", "said", "n_tokens"))
+    assert back.where("text <> coalesce(said, '')").count() == 0 and back.count() == docs.count()
+    assert op07_bpe.round_trip(empty, op07_bpe.vocabulary()).count() == 0
+
+
+def reach(links, nodes):
+    low = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            if low[a] != m or low[b] != m:
+                low[a] = low[b] = m
+                changed = True
+    return low
+
+
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_components(spark, one_task):
+    rng = random.Random(4)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3), (1, None)]
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(4), one_task)
+    real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
+    want = reach(real, {x for p in real for x in p})
+    assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("finer,homes", [(1 << 21, 20_000), (0, 2)])
+def test_simhash(spark, docs, empty, finer, homes, monkeypatch):
+    monkeypatch.setattr(op08_simhash.links, "__defaults__", (4, finer, homes))
+    rows = corpus()
+    fps = [op08_simhash.fingerprint(r[1] or "") & (2**64 - 1) for r in rows]
+    links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    root = reach(links, range(len(fps)))
+    least = defaultdict(lambda: None)
+    for i, r in enumerate(rows):
+        if r[0] is not None and (least[root[i]] is None or r[0] < least[root[i]]):
+            least[root[i]] = r[0]
+    want = Counter((r[0], fps[i], least[root[i]]) for i, r in enumerate(rows))
+    got = op08_simhash.near_duplicates(docs, finer=finer).collect()
+    assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
+    assert op08_simhash.near_duplicates(empty).count() == 0
+
+
+def test_tiff(docs, empty):
+    got = {(r["doc_id"], r["text"]): r for r in op09_tiff.decode(op09_tiff.to_tiff(docs, keep=("doc_id", "text")), keep=("doc_id", "text", "n_bytes")).collect()}
+    for r in corpus():
+        data = op09_tiff.payload(r[1] or "")
+        mine = got[r[0], r[1]]
+        assert b"".join(p["samples"] for p in mine["pages"]) == data and mine["n_bytes"] == len((r[1] or "").encode()) and mine["error"] is None
+    assert op09_tiff.decode(op09_tiff.to_tiff(empty)).count() == 0
+
+
+def test_tiff_pages(spark):
+    image = np.arange(600, dtype=np.uint8).reshape(20, 30)
+    media = [tiff.write([image, image.T.copy()], tiff.LZW, 2, tile=(16, 16)), b"junk", None, tiff.write([image], tiff.PACKBITS, big=True)]
+    rows = op09_tiff.read_pages(spark.createDataFrame(list(enumerate(media)), "doc_id long, media binary")).collect()
+    assert [(r["doc_id"], r["page"], r["error"] is None) for r in sorted(rows, key=lambda r: (r["doc_id"], r["page"] or 0))] == [(0, 0, True), (0, 1, True), (1, None, False), (2, None, False), (3, 0, True)]
+
+
+def test_shards(docs, empty):
+    rows = corpus()
+    got = op10_shard.shuffle_shards(docs, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r[0], r[1]) for r in rows)
+    assert sorted(r["place"] for r in got) == list(range(len(rows)))
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    sizes = [len(by[s]) for s in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    again = op10_shard.shuffle_shards(docs, bucket_bytes=2000).collect()
+    assert {(r["place"], r["text"]) for r in got} == {(r["place"], r["text"]) for r in again}
+    other = op10_shard.shuffle_shards(docs, bucket_bytes=2000, seed=1).collect()
+    assert [r["text"] for r in sorted(got, key=lambda r: r["place"])] != [r["text"] for r in sorted(other, key=lambda r: r["place"])]
+    assert op10_shard.shuffle_shards(empty).count() == 0
+
+
+def test_shards_written(docs, tmp_path):
+    op10_shard.write_shards(op10_shard.shuffle_shards(docs.select("doc_id", "text"), shards=3), str(tmp_path / "out"), files=4)
+    back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
+    assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
