@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import texts
+from .plans import relational, texts
 
-MODULES = (texts,)
+MODULES = (texts, relational)
 FLAGSHIP = "admission_report"
 
 
