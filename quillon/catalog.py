@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, texts
+from .plans import relational, scoring, similarity, texts
 
-MODULES = (texts, relational)
+MODULES = (texts, relational, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -28,10 +28,15 @@ def _recoded(words: Column, known: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(w)), 8, "0")), "UTF-32")), "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value evaluated once: as a lambda's variable it isn't copied into the expressions that use it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def word_distance(reference: Column, hypothesis: Column) -> Column:
     """Edit distance between two arrays of words."""
-    known = F.array_distinct(F.concat(reference, hypothesis))
-    return F.levenshtein(_recoded(reference, known), _recoded(hypothesis, known))
+    pair = F.struct(reference.alias("r"), hypothesis.alias("h"))
+    return bound(pair, lambda p: bound(F.array_distinct(F.concat(p["r"], p["h"])), lambda known: F.levenshtein(_recoded(p["r"], known), _recoded(p["h"], known))))
 
 
 def percent(distance: Column, denominator: Column) -> Column:
@@ -39,8 +44,8 @@ def percent(distance: Column, denominator: Column) -> Column:
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    r, h = words_of(reference), words_of(hypothesis)
-    return percent(word_distance(r, h), F.size(r))
+    scored = bound(F.struct(words_of(reference).alias("r"), words_of(hypothesis).alias("h")), lambda p: F.struct(word_distance(p["r"], p["h"]).alias("d"), F.size(p["r"]).alias("n")))
+    return bound(scored, lambda x: percent(x["d"], x["n"]))
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
@@ -91,8 +96,9 @@ def empty_status(hypothesis: Column) -> Column:
 
 
 def recognition_change(reference: Column, base: Column, adapted: Column) -> Column:
-    before, after = word_error_rate(reference, base), word_error_rate(reference, adapted)
-    return F.when(is_empty(adapted), "EMPTY_HYPOTHESIS").when(adapted == reference, "EXACT_MATCH").when(after < before, "IMPROVED").when(after > before, "REGRESSED").otherwise("UNCHANGED")
+    rates = F.struct(word_error_rate(reference, base).alias("before"), word_error_rate(reference, adapted).alias("after"))
+    change = bound(rates, lambda x: F.when(x["after"] < x["before"], "IMPROVED").when(x["after"] > x["before"], "REGRESSED").otherwise("UNCHANGED"))
+    return F.when(is_empty(adapted), "EMPTY_HYPOTHESIS").when(adapted == reference, "EXACT_MATCH").otherwise(change)
 
 
 def relative_improvement(base: Column, challenger: Column) -> Column:

@@ -174,14 +174,13 @@ def without_prohibited(form: Column) -> Column:
     return squeezed(form)
 
 
-def strip_carrier(form: Column, prefixes: Column, suffixes: Column) -> Column:
-    """Drop the first of the prefixes and of the suffixes (arrays of word runs, longest first) that the form starts or ends with."""
-    words = tokens(form)
-    head = F.filter(prefixes, lambda p: F.slice(words, 1, F.size(F.split(p, " "))) == F.split(p, " "))[0]
-    rest = F.when(head.isNotNull(), F.slice(words, F.size(F.split(head, " ")) + 1, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    ends = lambda s: (F.size(rest) >= F.size(F.split(s, " "))) & (F.array_join(F.slice(F.reverse(rest), 1, F.size(F.split(s, " "))), " ") == F.array_join(F.reverse(F.split(s, " ")), " "))
-    tail = F.filter(suffixes, ends)[0]
-    return F.array_join(F.when(tail.isNotNull(), F.slice(rest, 1, F.size(rest) - F.size(F.split(tail, " ")))).otherwise(rest), " ")
+def strip_carrier(words: Column, prefixes: Column, suffixes: Column) -> Column:
+    """Words (a column of arrays) without the first of the prefixes and of the suffixes (arrays of word runs, longest first) they start or end with."""
+    run = lambda p: F.split(p, " ")
+    head = F.filter(prefixes, lambda p: F.slice(words, 1, F.size(run(p))) == run(p))[0]
+    rest = F.when(head.isNotNull(), F.slice(words, F.size(run(head)) + 1, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
+    held = F.transform(F.array(rest), lambda r: F.struct(r.alias("r"), F.filter(suffixes, lambda s: F.slice(F.reverse(r), 1, F.size(run(s))) == F.reverse(run(s)))[0].alias("tail")))
+    return F.array_join(F.transform(held, lambda x: F.when(x["tail"].isNotNull(), F.slice(x["r"], 1, F.size(x["r"]) - F.size(run(x["tail"])))).otherwise(x["r"]))[0], " ")
 
 
 def clean_line(line: Column) -> Column:
