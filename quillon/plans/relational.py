@@ -280,7 +280,7 @@ def hist_duration_buckets(d):
 
 @statement
 def dist_values(d):
-    return f"SELECT l_returnflag, count(*) AS n, min(l_quantity) AS least, avg(l_quantity) AS mean, median(l_quantity) AS median, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_quantity) AS p95, max(l_quantity) AS most, sum(l_quantity) AS total FROM {d.t('lineitem')} GROUP BY 1"
+    return f"SELECT l_returnflag, count(*) AS n, min(l_quantity) AS least, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_quantity) AS p95, max(l_quantity) AS most, sum(l_quantity) AS total FROM {d.t('lineitem')} GROUP BY 1"
 
 
 @statement
@@ -308,7 +308,7 @@ def dist_bankers_rank(d):
 def monitor_summary(d):
     """A monitor's samples: numeric cells only, peak, mean and the share of busy samples."""
     v = "try_cast(value AS double)"
-    return f"SELECT event_type, count({v}) AS samples, max({v}) AS peak, avg({v}) AS mean, avg(CASE WHEN {v} >= 80 THEN cast(1 AS double) ELSE cast(0 AS double) END) AS busy_fraction, sum({d.json_k('props')}) AS k FROM {d.t('events')} GROUP BY 1"
+    return f"SELECT event_type, count({v}) AS samples, max({v}) AS peak, round(avg({v}), 6) AS mean, round(avg(CASE WHEN {v} >= 80 THEN cast(1 AS double) ELSE cast(0 AS double) END), 9) AS busy_fraction, sum({d.json_k('props')}) AS k FROM {d.t('events')} GROUP BY 1"
 
 
 @statement
@@ -329,7 +329,7 @@ def densified_counts(d):
 
 @statement
 def multi_value_counts(d):
-    return f"SELECT tag, count(*) AS n, avg(p_retailprice) AS mean FROM (SELECT p_retailprice, {d.explode(d.words('p_type'))} AS tag FROM {d.t('part')}) x GROUP BY tag"
+    return f"SELECT tag, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM (SELECT p_retailprice, {d.explode(d.words('p_type'))} AS tag FROM {d.t('part')}) x GROUP BY tag"
 
 
 @statement
@@ -565,7 +565,7 @@ def segments_capped(d):
 
 @statement
 def x_events_tumbling(d):
-    return f"SELECT {d.floor_to('ts', 3600)} AS window_start, event_type, count(*) AS n, sum(value) AS total FROM {d.t('events')} GROUP BY 1, 2"
+    return f"SELECT {d.floor_to('ts', 3600)} AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM {d.t('events')} GROUP BY 1, 2"
 
 
 @statement
@@ -576,7 +576,7 @@ k AS (SELECT *, sum(new_) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS U
 
 @statement
 def x_rolling_mean(d):
-    return f"SELECT user_id, event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean FROM {d.t('events')}"
+    return f"SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS mean FROM {d.t('events')}"
 
 
 @statement
@@ -587,7 +587,7 @@ def x_asof(d):
 
 @statement
 def x_rollup(d):
-    return f"SELECT n_name, c_mktsegment, count(*) AS orders, sum(o_totalprice) AS total FROM {d.t('orders')} JOIN {d.t('customer')} ON o_custkey = c_custkey JOIN {d.t('nation')} ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)"
+    return f"SELECT n_name, c_mktsegment, count(*) AS orders, sum(cast(round(o_totalprice * 100) AS bigint)) AS cents FROM {d.t('orders')} JOIN {d.t('customer')} ON o_custkey = c_custkey JOIN {d.t('nation')} ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)"
 
 
 def _query(make: Callable[[SimpleNamespace], str]) -> Callable[[SparkSession, str], DataFrame]:
