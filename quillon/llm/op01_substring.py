@@ -158,6 +158,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     met = materialize(docs.select(*KEYS, "__text").mapInArrow(_index(window, gram), "__k1 long, __k2 long, anchor long, said long, first int, n int"), "passages")
     again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("said").alias("a"), F.max("said").alias("b")).where("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    again = materialize(again, "again")  # as a table of its own both sides of the join are plain shuffles, and AQE splits an anchor that many passages share
     flagged = materialize(met.join(again, "anchor"), "repeated")
 
     span = lambda x: (F.col("first") + x).alias("to")
