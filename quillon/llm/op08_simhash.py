@@ -209,6 +209,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     smallest = named.groupBy("root").agg(F.min("__least").alias("component_id"))
     linked = named.join(smallest, "root").select("fp", "component_id")
     known = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "__least").alias("component_id"))
+    known = materialize(known, "known")  # a plain shuffle on either side of the join, so that AQE can split a fingerprint that many documents share
     return own.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
 
 
