@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .op01_substring import OP1_SQL, op1_substring
 from .op02_language import language_of_pages, op2_language
 from .op03_packing import op3_packing
-from .op04_itq import op4_itq
+from .op04_itq import OP4_SQL, op4_itq
 from .op05_urls import op5_urls
 from .op06_toxicity import op6_toxicity
 from .op07_bpe import op7_bpe
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring": OP1_SQL}
+    return {"op1_substring": OP1_SQL, "op4_itq": OP4_SQL}
