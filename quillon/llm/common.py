@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,11 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def texts_in_row(batch: pa.RecordBatch, name: str) -> list[str]:
+    """Strings of a column that travels in __row; null counts as empty."""
+    return [x or "" for x in pc.struct_field(batch.column("__row"), name).to_pylist()]
+
+
 def lower_ascii(column):
     """A-Z lower-cased, all else as it is."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, small_batches, table, texts_of, with_row
+from .common import carried, materialize, small_batches, table, texts_in_row, texts_of, with_row
 from .parsing import factors, gram_hashes, longest_matches, window_anchors, word_hashes
 
 WINDOW = 35
@@ -128,11 +128,11 @@ def _parse(window: int, chunk: int):
     return run
 
 
-def _remove():
+def _remove(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
-            for t, found in zip(texts_of(batch, "__text"), batch.column("__spans").to_pylist(), strict=True):
+            for t, found in zip(texts_in_row(batch, text), batch.column("__spans").to_pylist(), strict=True):
                 words = t.encode().split()
                 gone = np.zeros(len(words) + 1, dtype=np.int32)
                 for s in found or []:
@@ -152,6 +152,8 @@ def _remove():
 
 def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, chunk: int = CHUNK) -> DataFrame:
     """All columns of df, n_words, n_removed, kept (words left, joined by one space) and spans (array of from and to, in words)."""
+    if text in OWN:
+        raise ValueError(f"the text column can't be called {text}, which the operator makes itself")
     small_batches(df.sparkSession)
     k1, k2 = F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(2), F.col(text), F.col(key)).alias("__k2")
     docs = df.select(carried(df, OWN), F.col(text).alias("__text"), k1, k2)
@@ -172,7 +174,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     many = distinct.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor", F.lit(True).alias("crowded"))
     wanted = distinct.join(many, "anchor", "left").select("at.*", "anchor", "met", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     wanted = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "n", "anchor", "met", "crowded")).alias("wanted"))
-    said = docs.join(wanted, KEYS).mapInArrow(_words_of(window), "__k1 long, __k2 long, anchor long, first int, whole boolean, words binary")
+    said = docs.select(*KEYS, "__text").join(wanted, KEYS).mapInArrow(_words_of(window), "__k1 long, __k2 long, anchor long, first int, whole boolean, words binary")
     # a row of the input that is there twice brings its passages twice
     said = materialize(said.dropDuplicates([*KEYS, "first"]), "words")
     blocks = said.where("words is not null").repartition("anchor").sortWithinPartitions("anchor")
@@ -183,8 +185,8 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     spans = simple.unionAll(whole).unionAll(parsed).unionAll(crossed)
     spans = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
-    joined = docs.join(spans, KEYS, "left").select("__row", "__text", "__spans")
-    out = joined.mapInArrow(_remove(), with_row(docs, "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"))
+    joined = docs.drop("__text").join(spans, KEYS, "left").select("__row", "__spans")  # the text travels once, in its row
+    out = joined.mapInArrow(_remove(text), with_row(docs, "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"))
     return out.select("__row.*", *OWN)
 
 
