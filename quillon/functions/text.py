@@ -177,9 +177,9 @@ def without_prohibited(form: Column) -> Column:
 def strip_carrier(words: Column, prefixes: Column, suffixes: Column) -> Column:
     """Words (a column of arrays) without the first of the prefixes and of the suffixes (arrays of word runs, longest first) they start or end with."""
     run = lambda p: F.split(p, " ")
-    head = F.filter(prefixes, lambda p: F.slice(words, 1, F.size(run(p))) == run(p))[0]
+    head = F.get(F.filter(prefixes, lambda p: F.slice(words, 1, F.size(run(p))) == run(p)), F.lit(0))
     rest = F.when(head.isNotNull(), F.slice(words, F.size(run(head)) + 1, F.greatest(F.size(words), F.lit(1)))).otherwise(words)
-    held = F.transform(F.array(rest), lambda r: F.struct(r.alias("r"), F.filter(suffixes, lambda s: F.slice(F.reverse(r), 1, F.size(run(s))) == F.reverse(run(s)))[0].alias("tail")))
+    held = F.transform(F.array(rest), lambda r: F.struct(r.alias("r"), F.get(F.filter(suffixes, lambda s: F.slice(F.reverse(r), 1, F.size(run(s))) == F.reverse(run(s))), F.lit(0)).alias("tail")))
     return F.array_join(F.transform(held, lambda x: F.when(x["tail"].isNotNull(), F.slice(x["r"], 1, F.size(x["r"]) - F.size(run(x["tail"])))).otherwise(x["r"]))[0], " ")
 
 

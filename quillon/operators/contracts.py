@@ -59,6 +59,21 @@ def text_record(role: str, min_words: int = 2, max_words: int = 40, min_characte
     )
 
 
+def legacy_record(role: str, categories: tuple[str, ...], protected: bool = False, text: str = "target_text", most: int = 240) -> Column:
+    """The first broken rule of the older records: id, role, language, text and length, categories; with `protected` also the boolean column is_protected (of a left join to the protected hashes)."""
+    c = F.col
+    rules = [
+        ("candidate_id", unsafe_id(c("candidate_id"))),
+        ("partition_role", F.coalesce(c("partition_role") != role, F.lit(True))),
+        ("language", F.coalesce(c("language") != "sl-SI", F.lit(True))),
+        ("text_missing", blank(c(text))),
+        ("length", F.length(c(text)) > most),
+        ("markup", c(text).rlike(t.MARKUP)),
+        ("phenomena", F.coalesce((F.size("phenomena") < 1) | F.exists("phenomena", lambda p: ~p.isin(*categories)), F.lit(True))),
+    ]
+    return first_broken(*rules, *([("protected", c("is_protected"))] if protected else []))
+
+
 def manifest_row(role: str, source_type: str, language: str) -> Column:
     c = F.col
     return first_broken(("role", F.coalesce(c("partition_role") != role, F.lit(True))), ("source_type", F.coalesce(c("source_type") != source_type, F.lit(True))), ("language", F.coalesce((c("lang") != language) | (c("target_lang") != language), F.lit(True))), ("duration", F.coalesce(c("duration") <= 0, F.lit(True))), ("text", blank(c("text"))))

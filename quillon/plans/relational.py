@@ -532,7 +532,7 @@ def gate_flags(d):
 @statement
 def decision_labels(d):
     return f"""WITH {_models(d)}, g AS (SELECT model, bool_and(dw <= 1.0 AND dc <= 1.5 AND de <= 0) AS safe, bool_or(dw <= -1.0 OR dc <= -1.5) AS better, bool_or(dw < 0 OR dc < 0) AS gain, sum(greatest(0.0, dw) + greatest(0.0, dc)) AS burden FROM j GROUP BY model), w AS (SELECT max(burden) AS worst FROM g)
-SELECT model, CASE WHEN safe AND better AND gain THEN 'CHANGES_CONCLUSION_POSITIVELY' WHEN NOT gain OR (worst - burden) / worst * 100 < 20 THEN 'CHANGES_CONCLUSION_NEGATIVELY' WHEN NOT safe THEN 'CONFIRMS_CONCLUSION' ELSE 'INCONCLUSIVE' END AS label FROM g CROSS JOIN w"""
+SELECT model, CASE WHEN safe AND better AND gain THEN 'CHANGES_CONCLUSION_POSITIVELY' WHEN NOT gain OR coalesce((worst - burden) / nullif(worst, 0) * 100, 0) < 20 THEN 'CHANGES_CONCLUSION_NEGATIVELY' WHEN NOT safe THEN 'CONFIRMS_CONCLUSION' ELSE 'INCONCLUSIVE' END AS label FROM g CROSS JOIN w"""
 
 
 @statement
@@ -590,6 +590,87 @@ def x_rollup(d):
     return f"SELECT n_name, c_mktsegment, count(*) AS orders, sum(cast(round(o_totalprice * 100) AS bigint)) AS cents FROM {d.t('orders')} JOIN {d.t('customer')} ON o_custkey = c_custkey JOIN {d.t('nation')} ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)"
 
 
+# ---- further guards and summaries
+
+
+@statement
+def leak_number_masked(d):
+    """Documents whose text with numbers masked equals a protected text's; only digits are masked here, as punctuation is gone from the surface form."""
+    mask = (lambda x: f"regexp_replace({x}, '(^| )[0-9]+(?= |$)', '$1<NUM>')") if d.spark else (lambda x: f"array_to_string(list_transform(string_split({x}, ' '), lambda w: CASE WHEN regexp_full_match(w, '[0-9]+') THEN '<NUM>' ELSE w END), ' ')")
+    return f"WITH {_docs(d)}, b AS (SELECT DISTINCT {d.sha(mask(d.surface('text')))} AS h FROM {d.t('benchmark')}) SELECT doc_id AS candidate_id, role AS partition_role, 'protected_number_masked_overlap' AS code, 'review_required' AS severity FROM docs JOIN b ON {d.sha(mask('s'))} = b.h"
+
+
+@statement
+def compare_predictions(d):
+    """Two prediction sets against each other: unequal raw and normalised texts by role."""
+    n, m = d.surface("text"), d.surface("before_")
+    return f"""WITH p AS (SELECT role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before_ FROM {d.t('conversations')})
+SELECT role, count(*) AS n, sum(CASE WHEN text <> before_ THEN 1 ELSE 0 END) AS raw_mismatches, sum(CASE WHEN {n} <> {m} THEN 1 ELSE 0 END) AS normalized_mismatches FROM p WHERE before_ IS NOT NULL GROUP BY role"""
+
+
+@statement
+def hardvoice_schedule(d):
+    """Four of twenty rounds are replaced by another source, whose profile rotates with the place."""
+    return f"WITH o AS (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos FROM {d.t('part')}), r AS (SELECT {d.series(1, 20)} AS round) SELECT round, CASE WHEN round IN (5, 10, 15, 20) THEN concat('s6-', {d.text('(3 * pos + round) % 11')}) ELSE 'inherited' END AS view_, count(*) AS n FROM o CROSS JOIN r GROUP BY 1, 2"
+
+
+@statement
+def edit_count_totals(d):
+    return f"SELECT l_linestatus, sum(cast(l_linenumber AS bigint)) AS substitutions, sum(cast(l_quantity AS bigint)) AS deletions, sum(l_suppkey % 7) AS insertions, sum(cast(l_linenumber AS bigint) + cast(l_quantity AS bigint) + l_suppkey % 7) AS total FROM {d.t('lineitem')} GROUP BY 1"
+
+
+@statement
+def augmented_duplicate_groups(d):
+    """Groups of one hash, explained by one key, by one known set of keys, or not at all."""
+    return f"""WITH {_docs(d)}, g AS (SELECT h, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT lang) AS langs FROM fp GROUP BY h HAVING count(*) > 1)
+SELECT CASE WHEN sources = 1 THEN 'same_key' WHEN langs = 1 THEN 'same_profile' ELSE 'unexplained' END AS kind, count(*) AS groups_, sum(n - 1) AS extras FROM g GROUP BY 1"""
+
+
+@statement
+def collection_audit(d):
+    """One pass over a collection by role: repeats, protected overlaps, and the most used opening."""
+    first = "array_join(slice(split(s, ' '), 1, 2), ' ')" if d.spark else "array_to_string(string_split(s, ' ')[1:2], ' ')"
+    return f"""WITH {_docs(d)}, b AS (SELECT DISTINCT {d.sha(d.surface('text'))} AS h FROM {d.t('benchmark')}),
+o AS (SELECT role, {first} AS opening, count(*) AS n FROM docs GROUP BY 1, 2), m AS (SELECT role, max(n) AS most FROM o GROUP BY 1)
+SELECT fp.role AS partition_role, count(*) AS rows, count(*) - count(DISTINCT fp.h) AS repeats, count(b.h) AS protected_overlaps, max(most) AS largest_opening FROM fp LEFT JOIN b ON fp.h = b.h JOIN m ON fp.role = m.role GROUP BY fp.role"""
+
+
+@statement
+def token_lengths(d):
+    n = "size(filter(split(s, ' '), w -> w <> ''))" if d.spark else "len(list_filter(string_split(s, ' '), lambda w: w <> ''))"
+    return f"WITH {_docs(d)} SELECT role AS split, sum({n}) AS tokens, min({n}) AS least, max({n}) AS most, sum(CASE WHEN {n} = 0 THEN 1 ELSE 0 END) AS empties FROM docs GROUP BY 1"
+
+
+@statement
+def failure_brief(d):
+    """Tags of failures, with the first sixteen empties."""
+    return f"WITH f AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM {d.t('documents')} WHERE n_chars < 600) SELECT source, doc_id, n FROM f WHERE rn <= 16"
+
+
+@statement
+def retired_documents(d):
+    semi = "LEFT SEMI JOIN" if d.spark else "SEMI JOIN"
+    return f"WITH a AS (SELECT doc_id, {d.sha('text')} AS h FROM {d.t('documents')}), r AS (SELECT {d.sha('text')} AS h FROM {d.t('documents')} x JOIN {d.t('labels')} l ON x.doc_id = l.doc_id WHERE toxic = 1) SELECT doc_id FROM a {semi} r ON a.h = r.h"
+
+
+@statement
+def protected_index(d):
+    """A gate's distinct surface hashes, with its row count."""
+    return f"WITH h AS (SELECT {d.sha(d.surface('text'))} AS h FROM {d.t('benchmark')}) SELECT h AS surface_hash, count(*) AS rows FROM h GROUP BY 1"
+
+
+@statement
+def index_guard(d):
+    """Ids have to be exactly 0 to n - 1."""
+    return f"SELECT count(*) AS rows, count(DISTINCT doc_id) AS ids, min(doc_id) AS least, max(doc_id) AS most, count(DISTINCT doc_id) = count(*) AND min(doc_id) = 0 AND max(doc_id) = count(*) - 1 AS whole FROM {d.t('documents')}"
+
+
+@statement
+def epoch_coverage(d):
+    """Each order line's place among its order has to occur once, from 1 on."""
+    return f"SELECT l_orderkey FROM {d.t('lineitem')} GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT l_linenumber) OR max(l_linenumber) <> count(*)"
+
+
 def _query(make: Callable[[SimpleNamespace], str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: spark.sql(make(_spark(sf_dir)))
 

@@ -124,3 +124,8 @@ def test_seeds(spark):
     assert one(spark, m.unit_interval(F.col("a"), F.col("b")), a="k", b="p") == int(digest[:12], 16) / 0xFFFFFFFFFFFF
     assert one(spark, m.seed_31(F.col("a"), F.col("b")), a="k", b="p") == int(digest[:12], 16) % (2**31 - 1)
     assert one(spark, m.chosen(F.array(F.lit("x"), F.lit("y"), F.lit("z")), F.col("a"), F.col("b")), a="k", b="p") == "xyz"[int(digest[:8], 16) % 3]
+
+
+def test_no_carrier_leaves_the_words(spark):
+    none = F.array().cast("array<string>")
+    assert one(spark, t.strip_carrier(F.split("x", " "), none, none), x="a b") == "a b"
