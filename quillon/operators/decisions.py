@@ -281,3 +281,10 @@ def worst_status(severity: Column) -> Column:
     """FAILED over BLOCKED over NOT_RUN over REVIEW_REQUIRED over PASSED, of a group's severities."""
     ranks = F.create_map(*(x for s, r in (("failed", 4), ("blocked", 3), ("not_run", 2), ("review_required", 1)) for x in (F.lit(s), F.lit(r))))
     return F.element_at(F.array(*(F.lit(s) for s in ("PASSED", "REVIEW_REQUIRED", "NOT_RUN", "BLOCKED", "FAILED"))), F.coalesce(F.max(ranks[severity]), F.lit(0)) + 1)
+
+
+def worth_larger_batch(larger: str, smaller: str, most_memory: float, gain: float) -> Column:
+    """Whether to try a still larger batch: the larger of two (struct columns with status, parity_eligible, peak_memory_mib, throughput) passed, fits and is faster by `gain`."""
+    a, b = F.col(larger), F.col(smaller)
+    fits = (a["status"] == "PASSED") & a["parity_eligible"] & (F.coalesce(a["peak_memory_mib"], F.lit(0.0)) <= most_memory)
+    return F.coalesce(fits & (b["throughput"] > 0) & (a["throughput"] >= b["throughput"] * gain), F.lit(False))
