@@ -181,17 +181,29 @@ def review_accept_reject(d):
 SELECT x.doc_id, {OUTCOME} AS outcome, ({OUTCOME}) = 'ACCEPT' AND h.repeats = 0 AS accepted FROM {d.t('documents')} x JOIN {d.t('labels')} l ON x.doc_id = l.doc_id CROSS JOIN h"""
 
 
+#: Admission checks: name, code, severity and when a row has the issue.
+CHECKS = (
+    ("exact_groups", "exact_surface_collision", "failed", "doc_id > keep"),
+    ("cross_partition", "cross_partition_overlap", "failed", "role <> 'synthetic_holdout' AND held > 0"),
+    ("protected_indexes", "protected_surface_overlap", "failed", "guarded"),
+    ("record_contract", "word_count_outside_limits", "review_required", "s = '' OR n_chars > 20000"),
+    ("linguistic_review", "review_missing", "not_run", "NOT reviewed"),
+)
+
+
 def _issues(d) -> str:
+    """One pass: what a row needs to know of others comes by windows over its hash and by joins; then its issues are laid out in rows."""
+    if d.spark:
+        cells = ", ".join(f"CASE WHEN {when} THEN named_struct('check_', '{c}', 'code', '{code}', 'severity', '{sev}') END" for c, code, sev, when in CHECKS)
+        laid = f"SELECT role, doc_id, i.check_, i.code, i.severity FROM e LATERAL VIEW inline(array_compact(array({cells}))) i AS check_, code, severity"
+    else:
+        cells = ", ".join(f"CASE WHEN {when} THEN {{'check_': '{c}', 'code': '{code}', 'severity': '{sev}'}} END" for c, code, sev, when in CHECKS)
+        laid = f"SELECT role, doc_id, i.check_, i.code, i.severity FROM (SELECT role, doc_id, unnest(list_filter([{cells}], lambda x: x IS NOT NULL)) AS i FROM e) x"
     return f"""{_docs(d)},
-b AS (SELECT DISTINCT {d.sha(d.surface('text'))} AS h FROM {d.t('benchmark')}),
-first_ AS (SELECT h, role, min(doc_id) AS keep FROM fp GROUP BY h, role),
-hold AS (SELECT DISTINCT h FROM fp WHERE role = 'synthetic_holdout'),
-issues AS (
-SELECT 'exact_groups' AS check_, 'exact_surface_collision' AS code, 'failed' AS severity, fp.role, doc_id FROM fp JOIN first_ f ON fp.h = f.h AND fp.role = f.role WHERE fp.doc_id > f.keep
-UNION ALL SELECT 'cross_partition', 'cross_partition_overlap', 'failed', role, doc_id FROM fp JOIN hold ON fp.h = hold.h WHERE role <> 'synthetic_holdout'
-UNION ALL SELECT 'protected_indexes', 'protected_surface_overlap', 'failed', role, doc_id FROM fp JOIN b ON fp.h = b.h
-UNION ALL SELECT 'record_contract', 'word_count_outside_limits', 'review_required', role, doc_id FROM fp WHERE s = '' OR n_chars > 20000
-UNION ALL SELECT 'linguistic_review', 'review_missing', 'not_run', {ROLE.replace('doc_id', 'x.doc_id')}, x.doc_id FROM {d.t('documents')} x LEFT ANTI JOIN {d.t('labels')} l ON x.doc_id = l.doc_id)""".replace("LEFT ANTI JOIN", "LEFT ANTI JOIN" if d.spark else "ANTI JOIN")
+b AS (SELECT DISTINCT {d.sha(d.surface('text'))} AS h FROM {d.t('benchmark')}), l AS (SELECT DISTINCT doc_id FROM {d.t('labels')}),
+e AS (SELECT fp.doc_id, fp.role, fp.s, fp.n_chars, b.h IS NOT NULL AS guarded, l.doc_id IS NOT NULL AS reviewed, min(fp.doc_id) OVER (PARTITION BY fp.h, fp.role) AS keep,
+  sum(CASE WHEN fp.role = 'synthetic_holdout' THEN 1 ELSE 0 END) OVER (PARTITION BY fp.h) AS held FROM fp LEFT JOIN b ON fp.h = b.h LEFT JOIN l ON fp.doc_id = l.doc_id),
+issues AS ({laid})"""
 
 
 SEVERITY = "CASE severity WHEN 'failed' THEN 4 WHEN 'blocked' THEN 3 WHEN 'not_run' THEN 2 WHEN 'review_required' THEN 1 END"
