@@ -251,6 +251,22 @@ def test_components(spark, one_task):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_across_tasks(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        links = [x for i in range(2000) for x in ((3 * i + 2, 3 * i + 1), (3 * i + 1, 3 * i))]
+        links += [(10_000 + i, 10_001 + i) for i in range(60)] + [(20_000, 20_001 + i) for i in range(300)]
+        got = components.components(spark.createDataFrame(links, "a long, b long").repartition(24), 0).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {i: i - i % 3 for i in range(6000)} | {10_000 + i: 10_000 for i in range(61)} | {20_000 + i: 20_000 for i in range(301)}
+    assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("finer,homes", [(1 << 21, 20_000), (0, 2)])
 def test_simhash(spark, docs, empty, finer, homes, monkeypatch):
     monkeypatch.setattr(op08_simhash.links, "__defaults__", (4, finer, homes))
