@@ -10,6 +10,12 @@ Likelihoods are fitted on at most SAMPLE documents, chosen by the hash of their
 are grouped aggregates over all rows, joined by broadcast only if a check finds few rows. The host's prior leaves the
 row's own declaration out, so that no evidence counts twice.
 
+Beside the languages stands "none of these": its mean log likelihood is a floor under the language that the text fits
+best. The floor is calibrated on the documents that the likelihoods are fitted on, each judged without its own counts:
+all but a share STRAY of them lie above it, and it is at least LEAST_SLACK under their median. The mean of a few trigrams
+scatters, so under TRIGRAMS trigrams the floor's distance grows with the root of their number: very short texts are
+judged by the other evidence alone. A text in no known language keeps the nearest one's name, with a small posterior.
+
 Null or empty text gives language "und", which is rejected; so is a best posterior under ACCEPT. Null host, suffix or
 declaration is no evidence. Repeated rows get equal results. An empty table, or no labelled text, gives "und"
 everywhere it gives rows. All columns are kept; of clashing names the operator's own stay."""
@@ -34,6 +40,10 @@ HOST, SUFFIX = 20.0, 50.0
 ACCEPT = 0.5
 #: At most so many languages, the most frequent ones.
 LANGUAGES = 64
+#: Prior probability of no known language; the share of labelled documents that may lie under the floor; the floor's least distance from their median.
+NONE = 0.01
+STRAY = 0.001
+LEAST_SLACK = 1.0
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -46,6 +56,8 @@ def trigrams(text: str) -> np.ndarray:
 class Model:
     languages: list[str]
     log_likelihood: np.ndarray  # BUCKETS x languages
+    usual: np.ndarray | None = None  # by language: median of the labelled documents' mean log likelihood
+    slack: np.ndarray | None = None  # by language: how far TRIGRAMS trigrams may lie under it; without these every text is in some language
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
@@ -74,7 +86,27 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     got = rows.mapInArrow(count, "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toPandas()  # BUCKETS x LANGUAGES at most
     counts[got["b"].to_numpy(), got["l"].to_numpy()] = got["c"].to_numpy()
     smooth = counts + 0.5
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)))
+    total = smooth.sum(axis=0)
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for l, t in zip(batch.column("l").to_pylist(), texts_of(batch, "__text"), strict=True):
+                if l in number and t.strip():
+                    i, seen = number[l], np.bincount(grams := trigrams(t), minlength=BUCKETS)
+                    at = np.flatnonzero(seen)
+                    mean = seen[at] @ np.log((smooth[at, i] - seen[at]) / (total[i] - len(grams))) / len(grams)
+                    for o, x in zip(out, (i, float(mean), len(grams)), strict=True):
+                        o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int32(), pa.float64(), pa.int64()), strict=True)], ["l", "mean", "n"])
+
+    fits = rows.mapInArrow(left_out, "l int, mean double, n long").toPandas()  # three numbers for each document of the sample
+    usual, slack = np.full(len(languages), -np.log(BUCKETS)), np.full(len(languages), LEAST_SLACK)
+    for i, own in fits.groupby("l"):
+        usual[i] = own["mean"].median()
+        short = (usual[i] - own["mean"]) * np.sqrt(np.minimum(own["n"], TRIGRAMS) / TRIGRAMS)
+        slack[i] = max(LEAST_SLACK, float(np.quantile(short, 1 - STRAY, method="higher")))
+    return Model(languages, np.log(smooth / total), usual, slack)
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, accept: float = ACCEPT) -> DataFrame:
@@ -126,7 +158,12 @@ def identify(df: DataFrame, model: Model | None, text: str = "text", declared: s
                 if own_ is not None:
                     total = total + np.log(np.where(np.arange(len(languages)) == own_, RELIABLE, wrong or 1.0))
                 p = np.exp(total - total.max())
-                p /= p.sum()
+                none = 0.0
+                if model.usual is not None:
+                    k, near = min(len(grams), TRIGRAMS), int(np.argmax(by_text))
+                    floor = model.usual[near] - model.slack[near] * np.sqrt(TRIGRAMS / k)
+                    none = np.exp(min(700.0, floor * k + np.log(NONE) - (np.log(len(languages)) if own_ is not None else 0.0) - total.max()))
+                p /= p.sum() + none
                 best = int(np.argmax(p))
                 for o, x in zip(out, (languages[best], float(p[best]), languages[int(np.argmax(by_text))], bool(p[best] < accept)), strict=True):
                     o.append(x)

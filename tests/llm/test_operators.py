@@ -75,6 +75,22 @@ def test_language(spark, docs, empty):
     assert op02_language.train(empty) is None and op02_language.identify(empty, model).count() == 0
 
 
+def test_language_rejects_foreign_and_garbled_text(spark):
+    rng = random.Random(3)
+    words = {
+        "en": "the and that other thing with from would there their about which when people could time after where house being little water".split(),
+        "fr": "les que une pour dans avec cette leur nous vous plus comme mais tout faire temps monde autre sans encore maison petite".split(),
+    }
+    said = lambda ws, n=80: " ".join(rng.choice(ws) for _ in range(n))
+    model = op02_language.train(spark.createDataFrame([(i, said(words[l]), l) for i, l in enumerate(["en", "fr"] * 60)], "doc_id long, text string, lang string"))
+    foreign = "jest nie się który przez tylko jako może było żeby wszystko dzień wiele ludzie miasto życie świat ręka woda słowo dziecko".split()
+    bad = ["".join(chr(rng.randint(33, 126)) for _ in range(500)), said([str(i) for i in range(9999)]), "".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(200)), said(foreign)]
+    good = [said(words["en"]), said(words["fr"]), said(words["en"], 6)]
+    rows = [(i, t, d) for i, t in enumerate(good + bad) for d in ("en", None)]
+    got = op02_language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, declared="lang").collect()
+    assert len(got) == 14 and all(r["rejected"] == (r["doc_id"] >= 3) for r in got)
+
+
 def test_language_prior_leaves_out_the_row_and_shrinks(spark):
     model = op02_language.Model(["en", "fr"], np.zeros((op02_language.BUCKETS, 2)))
     rows = spark.createDataFrame([(i, "a", "fr", "h") for i in range(40)] + [(100, "a", None, "h"), (101, "a", None, "other"), (102, "a", "en", "h")], "doc_id long, text string, lang string, host string")
