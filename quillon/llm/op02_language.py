@@ -6,7 +6,7 @@ declared  the language the markup (or the record) declares: right with probabili
 suffix    the address suffix, by the languages seen with it
 host      the languages seen at the host, shrunk to those of its suffix, shrunk to those of the whole table (strengths HOST, SUFFIX)
 
-Likelihoods are fitted on at most SAMPLE documents, chosen by the hash of their ids; the counts of hosts and suffixes
+Likelihoods are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids; the counts of hosts and suffixes
 are grouped aggregates over all rows, joined by broadcast only if a check finds few rows. The host's prior leaves the
 row's own declaration out, so that no evidence counts twice.
 
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import carried, join_checked, lower_ascii, materialize, small_batches, table, texts_of, with_row
@@ -38,8 +38,6 @@ TRIGRAMS = 200
 RELIABLE = 0.9
 HOST, SUFFIX = 20.0, 50.0
 ACCEPT = 0.5
-#: At most so many languages, the most frequent ones.
-LANGUAGES = 64
 #: Prior probability of no known language; the share of labelled documents that may lie under the floor; the floor's least distance from their median.
 NONE = 0.01
 STRAY = 0.001
@@ -64,10 +62,17 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(key).isNotNull())
-    languages = sorted(r["l"] for r in labelled.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect())
-    if not languages:
+    met = {r["l"]: r["count"] for r in labelled.groupBy(F.col(lang).alias("l")).count().collect()}
+    if not met:
         return None
-    ids = materialize(labelled.select(key).orderBy(F.xxhash64(F.col(key)), key).limit(sample), "sample")
+    languages = sorted(met)
+    # of a frequent language only hashes under a bound are ranked, with room enough that `sample` of them remain
+    bounds = [(l, min(1.0, (1.5 * sample + 1000) / n)) for l, n in met.items()]
+    bounds = spark.createDataFrame(bounds, "l string, share double")
+    hashed = labelled.select(key, F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h")).join(F.broadcast(bounds), "l")
+    hashed = hashed.where((F.col("share") >= 1) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
+    ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", key)))
+    ids = materialize(ranked.where(F.col("rank") <= sample).select(key, "l").distinct(), "sample")
     number = {l: i for i, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +86,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             b = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([number[l]] * len(b), pa.int32()), pa.array(b, pa.int32()), pa.array(c[b])], ["l", "b", "c"])
 
-    rows = labelled.select(key, F.col(lang).alias("l"), F.col(text).alias("__text")).join(F.broadcast(ids), key).select("l", "__text")
+    rows = join_checked(labelled.select(key, F.col(lang).alias("l"), F.col(text).alias("__text")), ids, [key, "l"], "inner").select("l", "__text")
     counts = np.zeros((BUCKETS, len(languages)))
-    got = rows.mapInArrow(count, "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toPandas()  # BUCKETS x LANGUAGES at most
+    got = rows.mapInArrow(count, "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toPandas()  # BUCKETS x languages at most
     counts[got["b"].to_numpy(), got["l"].to_numpy()] = got["c"].to_numpy()
     smooth = counts + 0.5
     total = smooth.sum(axis=0)

@@ -91,6 +91,18 @@ def test_language_rejects_foreign_and_garbled_text(spark):
     assert len(got) == 14 and all(r["rejected"] == (r["doc_id"] >= 3) for r in got)
 
 
+def test_language_learns_rare_and_many_languages(spark):
+    rng = random.Random(5)
+    words = {f"l{i:02d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for i in range(70)}
+    said = lambda l: " ".join(rng.choice(words[l]) for _ in range(60))
+    labels = ["l00"] * 400 + [l for l in words for _ in range(3)]
+    train = spark.createDataFrame([(i, said(l), l) for i, l in enumerate(labels)], "doc_id long, text string, lang string")
+    model = op02_language.train(train, sample=20)
+    rows = spark.createDataFrame([(i, said(l), l) for i, l in enumerate(words)], "doc_id long, text string, own string")
+    got = op02_language.identify(rows, model).collect()
+    assert len(got) == 70 and all(r["language"] == r["own"] for r in got)
+
+
 def test_language_prior_leaves_out_the_row_and_shrinks(spark):
     model = op02_language.Model(["en", "fr"], np.zeros((op02_language.BUCKETS, 2)))
     rows = spark.createDataFrame([(i, "a", "fr", "h") for i in range(40)] + [(100, "a", None, "h"), (101, "a", None, "other"), (102, "a", "en", "h")], "doc_id long, text string, lang string, host string")
