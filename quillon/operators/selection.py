@@ -29,6 +29,14 @@ def pruned(df: DataFrame, by: str, order: list, keep: int) -> DataFrame:
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("__rank") <= keep).drop("__rank")
 
 
+def pruned_for_quota(df: DataFrame, order: list, count: int, quota: dict[str, int]) -> DataFrame:
+    """All rows that by_quota can choose: the first `count`, and of each quota's tag as many as all quotas together, as rows with several tags may be taken by another quota first."""
+    out = df.orderBy(*order).limit(count)
+    for tag in sorted(quota):
+        out = out.unionAll(df.where(F.array_contains("tags", tag)).orderBy(*order).limit(sum(quota.values())))
+    return out.distinct()
+
+
 def by_quota(rows: Sequence[dict], count: int, quota: dict[str, int]) -> list[dict]:
     """First each tag's quota (tags in order), then the best others; rows come ranked, each with `tags`."""
     out: list[dict] = []

@@ -69,8 +69,9 @@ def _numbered(chosen: list[dict]) -> pd.DataFrame:
 
 
 def quota_selection(spark, sf_dir):
-    rows = selection.pruned(_parts(spark, sf_dir).withColumn("tag", F.col("tags")[0]), "tag", [F.col("rank"), F.col("id")], 60)
-    return selection.in_order(rows.drop("tag"), lambda r: _numbered(selection.by_quota(_ranked(r), 60, {"STEEL": 5, "BRASS": 5, "COPPER": 5})), "place long, id long")
+    quota = {"STEEL": 5, "BRASS": 5, "COPPER": 5}
+    rows = selection.pruned_for_quota(_parts(spark, sf_dir), [F.col("rank"), F.col("id")], 60, quota)
+    return selection.in_order(rows, lambda r: _numbered(selection.by_quota(_ranked(r), 60, quota)), "place long, id long")
 
 
 def capped_greedy(spark, sf_dir):
@@ -91,8 +92,10 @@ def diversity_greedy(spark, sf_dir):
         ranked = [r | {"features": frozenset(r["tags"])} for r in _ranked(rows)]
         return _numbered(selection.with_diversity(ranked, 40, 15, {}))
 
-    rows = selection.pruned(_parts(spark, sf_dir), "domain", [F.col("rank"), F.col("id")], 40)
-    return selection.in_order(rows, kernel, "place long, id long")
+    # rows with the same features are chosen in the order of their ranks
+    rows = _parts(spark, sf_dir).withColumn("features", F.array_sort(F.array_distinct("tags")))
+    rows = selection.pruned(rows, "features", [F.col("rank"), F.col("id")], 40)
+    return selection.in_order(rows.drop("features"), kernel, "place long, id long")
 
 
 _ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
