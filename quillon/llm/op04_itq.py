@@ -11,8 +11,11 @@ tests (0.9 at least is asked for).
 Equal vectors are one row with a count from the start, so copies are never expanded into pairs; a large group of
 different vectors that are all near each other does cost its pairs, which n_links asks for.
 
-Vectors that are null, empty, zero, of another length than the most common one, or hold null or non-finite components
-link with nothing: n_links 0, component_id their own id. Null and repeated ids are rows like others; a component's id
+Vectors of different lengths never link; each length is searched on its own, with a rotation of its own. Of a length with
+at most SMALL different vectors, too few to learn from, all pairs are compared.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0, component_id
+their own id. Null and repeated ids are rows like others; a component's id
 is the smallest that isn't null. An empty table gives an empty table. Other columns are left out."""
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +37,7 @@ TABLES = 4
 NEAR = 20
 THRESHOLD = 0.95
 ROUNDS = 40
+SMALL = 256
 
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +115,19 @@ def links(distinct: DataFrame, dims: int, threshold: float = THRESHOLD, tables:
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long"), "links")
 
 
+def all_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b (a < b): pairs of nodes of one vector length with cosine >= threshold. distinct: node, vector; at most SMALL of each length."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        node, v = rows["node"].to_numpy(), np.stack(rows["vector"].to_list()).astype(np.float64)
+        size = np.sqrt(np.einsum("ij,ij->i", v, v))
+        near = [np.flatnonzero(np.einsum("ij,j->i", v[i + 1 :], v[i]) / (size[i + 1 :] * size[i]) >= threshold) + i + 1 for i in range(len(v))]
+        return pd.DataFrame({"a": np.repeat(node, [len(x) for x in near]), "b": node[np.concatenate(near)]})
+
+    return distinct.groupBy(F.size("vector").alias("d")).applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links, component_id, kept."""
     small_batches(df.sparkSession)
@@ -117,13 +135,17 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     sound = F.col(embedding).isNotNull() & (F.size(embedding) > 0)
     sound = sound & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).alias("__key"), F.when(sound, v).alias("vector"))
-    common = rows.where("vector is not null").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dims = common["d"] if common else 0
-    rows = rows.select("__key", F.when(F.size("vector") == dims, F.col("vector")).alias("vector"))
     rows = rows.select("__key", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("node"))
     distinct = rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"), F.min("__key").alias("least"))
     distinct = materialize(distinct, "vectors")
-    pairs = links(distinct.select("node", "vector"), dims, threshold)
+    lengths = {r["d"]: r["count"] for r in distinct.groupBy(F.size("vector").alias("d")).count().where("count > 1").collect()}
+    large = sorted(d for d, n in lengths.items() if n > SMALL)
+    vectors = distinct.select("node", "vector")
+    pairs = distinct.sparkSession.createDataFrame([], "a long, b long")
+    for d in large:
+        pairs = pairs.unionAll(links(vectors.where(F.size("vector") == d), d, threshold))
+    if len(large) < len(lengths):
+        pairs = pairs.unionAll(materialize(all_links(vectors.where(~F.size("vector").isin(large)), threshold), "links"))
     found = components(pairs)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(distinct.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))

@@ -177,6 +177,17 @@ def test_itq(spark):
     assert op04_itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_itq_searches_every_length(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3, 8))
+    long_ = rng.normal(size=(300, 16))
+    vs = [rng.normal(size=64) for _ in range(400)] + [base[0], base[0], base[1], base[1] * 1.01 + 0.001, base[2]] + [*long_, long_[0] * 2, long_[1]]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vs)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op04_itq.near_duplicates(df).collect()}
+    assert [got[i] for i in range(400, 405)] == [(1, 400), (1, 400), (1, 402), (1, 402), (0, 404)]
+    assert got[705][1] == 405 and got[706][1] == 406 and got[0] == (0, 0)
+
+
 URLS = ["http://a.example.com/en/x", "https://www.example.com/en/", "HTTP://WWW.Example.COM/en/1?a=/es/", "http://x.net/es/1", "http://net/fr/", "http://x.net", "http://com", "http://xcom/", "no url", None, "", "://h/p?q#f", "a://b.com/x://c.net/es/", "http://b.org/" + "9" * 3000, "http://x.net/de/?#", "http://x\n.com/a\nb"]
 
 
