@@ -11,7 +11,11 @@ Equal fingerprints are one row from the start. Anchors with many homes are split
 each salt. An anchor gives a spanning forest of its links, not all pairs.
 
 Null and empty text has fingerprint zero and links like any other. Null doc_ids are kept and take part; component_id is
-the smallest id that is not null, or null. Repeated rows and ties give equal results. An empty table gives an empty table."""
+the smallest id that is not null, or null. Repeated rows and ties give equal results. An empty table gives an empty table.
+
+Near copies in the pipeline are another matter (near_copies): texts whose sets of COPY_SHINGLE words have a Jaccard
+similarity of at least SIMILAR, which fingerprints at few differing bits mostly miss. Candidates share one of BANDS bands
+of BAND minima (a pair at 0.8 is missed with probability 0.0002); within a band all sets are compared exactly."""
 
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, texts_of
+from .common import join_checked, materialize, small_batches, table, texts_of
 from .components import components, stars
 
 SHINGLE = 4
@@ -35,6 +39,10 @@ PARTS = ((0, 22), (22, 21), (43, 21))
 BITS = 23
 #: From so many distinct fingerprints on, the finer code is used.
 FINER = 1 << 21
+#: near_copies: words of a shingle, similarity, bands and minima of a band.
+COPY_SHINGLE = 5
+SIMILAR = 0.8
+BANDS, BAND = 16, 4
 #: Homes of an anchor in one task.
 HOMES = 20_000
 
@@ -213,6 +221,106 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     return own.join(known, "fp").select(F.col("__key").alias(key), "fp", "component_id")
 
 
+def shingles(text: str) -> np.ndarray:
+    """Sorted hashes of the different shingles of COPY_SHINGLE words; of fewer words, of all of them."""
+    words = text.encode("utf-8").lower().split()
+    said = {b" ".join(words[i : i + COPY_SHINGLE]) for i in range(max(1, len(words) - COPY_SHINGLE + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in said), dtype=np.uint64, count=len(said)))
+
+
+def bands(said: np.ndarray) -> list[int]:
+    """A number for each band of minima; none of an empty set."""
+    if not len(said):
+        return []
+    odd = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND), dtype=np.uint64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(said), 4096):
+        least = np.minimum(least, ((said[i : i + 4096, None] ^ odd[0]) * (odd[1] | np.uint64(1))).min(axis=0))
+    return [int(np.int64(np.uint64(xxhash.xxh64_intdigest(least[BAND * t : BAND * (t + 1)].tobytes(), t)).view(np.int64))) for t in range(BANDS)]
+
+
+def _name(said: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(said.tobytes(), SEED)).view(np.int64))
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The first set reachable from each by pairs of at least this Jaccard similarity."""
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    lab = np.arange(n)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(n), sizes)[np.argsort(at, kind="stable")]
+    met = np.bincount(at)
+    ends = np.cumsum(met)
+    starts = np.cumsum(sizes) - sizes
+    for x in range(n):
+        if not lab.any():  # all are linked to the first
+            break
+        own = at[starts[x] : starts[x] + sizes[x]]
+        own = own[met[own] > 1]
+        if len(own):
+            shared = np.zeros(n, dtype=np.int64)
+            for o in own:
+                shared[holder[ends[o] - met[o] : ends[o]]] += 1
+            near = lab[shared >= similarity * (sizes + sizes[x] - shared) - 1e-9]
+            if len(near) and (near != lab[x]).any():
+                joined = np.zeros(n, dtype=bool)
+                joined[near] = joined[lab[x]] = True
+                lab[joined[lab]] = np.flatnonzero(joined)[0]
+    return lab
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
+    """key and component_id (smallest key reachable) of the rows that have a key; texts without words are equal."""
+    small_batches(df.sparkSession)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    kind = rows.schema["__key"].dataType.simpleString()
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [shingles(t) for t in texts_of(batch, "__text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(x) for x in said], pa.int64()), pa.array([bands(x) for x in said], pa.list_(pa.int64()))], ["__key", "name", "bands"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            said = [shingles(t) for t in texts_of(batch, "__text")]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in said], pa.int64()), pa.array([x.view(np.int64) for x in said], pa.list_(pa.int64()))], ["name", "said"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by band."""
+
+        def close() -> pa.RecordBatch:
+            name = np.array(names, dtype=np.int64)
+            root = name[similar(held, similarity)] if len(held) > 1 else name
+            return pa.RecordBatch.from_arrays([pa.array(name[root != name]), pa.array(root[root != name])], ["node", "root"])
+
+        now, names, held = None, [], []
+        for batch in batches:
+            said = batch.column(2)
+            for i, (band, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if band != now:
+                    yield close()
+                    now, names, held = band, [], []
+                names.append(name)
+                held.append(said[i].values.to_numpy())
+        yield close()
+
+    own = materialize(rows.mapInArrow(named, f"__key {kind}, name long, bands array<long>"), "names")
+    least = materialize(own.groupBy("name").agg(F.min("__key").alias("__least"), F.first("bands").alias("bands")), "sets")
+    cells = least.select("name", F.explode("bands").alias("band"))
+    met = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("name")).alias("who"), F.min("name").alias("low")).where("n > 1")
+    met = met.groupBy("n", "who", "low").agg(F.min("band").alias("band")).select("band")  # bands with the same members are compared once
+    members = materialize(cells.join(met, "band"), "members")
+    asked = members.select("name").distinct().join(least, "name").select(F.col("__least").alias("__key")).distinct()
+    said = join_checked(rows, materialize(asked, "asked"), "__key", "left_semi").mapInArrow(sets, "name long, said array<long>")
+    said = materialize(said.groupBy("name").agg(F.first("said").alias("said")), "said")
+    dealt = members.join(said, "name").select("band", "name", "said").repartition("band").sortWithinPartitions("band", "name")
+    found = components(dealt.mapInArrow(compare, "node long, root long"))
+    linked = least.select("name", "__least").join(found, least["name"] == found["node"], "left").select("name", "__least", F.coalesce("root", "name").alias("root"))
+    smallest = linked.groupBy("root").agg(F.min("__least").alias("component_id"))
+    known = materialize(linked.join(smallest, "root").select("name", "component_id"), "known")
+    return own.select("__key", "name").join(known, "name").select(F.col("__key").alias(key), "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -323,6 +323,32 @@ def test_simhash(spark, docs, empty, finer, homes, monkeypatch):
     assert op08_simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_copies(spark, docs, empty):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for i in range(240):
+        words = [word() for _ in range((100, 300, 1000)[i % 3])]
+        copy = list(words)
+        for _ in range(max(1, len(words) * (i % 4 + 1) // 200)):
+            copy[rng.randrange(len(words))] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    grams = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    near = [jaccard(grams(texts[i]), grams(texts[i + 1])) >= 0.8 for i in range(0, len(texts), 2)]
+    got = {r["doc_id"]: r["component_id"] for r in op08_simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == 2 * i and (near[i] or got[2 * i + 1] == 2 * i + 1) for i in range(240))
+    found = sum(got[2 * i + 1] == 2 * i for i in range(240))
+    print("near pairs, found:", sum(near), found)
+    assert sum(near) > 100 and found >= 0.99 * sum(near)
+    rows = [r for r in corpus() if r[0] is not None]
+    out = op08_simhash.near_copies(docs)
+    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
+    blank = [r[0] for r in rows if not (r[1] or "").split()]
+    assert {r["component_id"] for r in out.where(F.col("doc_id").isin(blank)).collect()} == {min(blank)}
+    assert op08_simhash.near_copies(empty).count() == 0
+
+
 def test_tiff(docs, empty):
     got = {(r["doc_id"], r["text"]): r for r in op09_tiff.decode(op09_tiff.to_tiff(docs, keep=("doc_id", "text")), keep=("doc_id", "text", "n_bytes")).collect()}
     for r in corpus():
