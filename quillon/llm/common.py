@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 #: A word of the contracts: the longest runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows per Arrow batch; documents may be long, so batches stay small.
-ARROW_ROWS = 1000
+#: Rows and bytes per Arrow batch; documents may be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 #: A table of at most this many rows of a few dozen bytes may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -25,15 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches, as whole texts travel in them."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound Arrow batches by rows and bytes, as whole texts travel in them. The settings stay in the session: plans are lazy and read them when they run."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) != str(most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

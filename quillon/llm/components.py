@@ -1,11 +1,12 @@
 """Connected components of an edge table, without gathering it.
 
-Every task first contracts what it holds to stars around the smallest node (a forest: never more edges than came in).
-Each round then looks at every edge from both of its ends: the larger neighbours of a node are hung from the smallest
-node around it, then the smaller ones are (large-star and small-star). No round makes more edges or raises a root, and
-while a node hangs from two roots, or from one that hangs itself, some root gets smaller; so the rounds end, when every
-node hangs from one root that hangs from none. Each round is written to the shared folder, so a lost executor costs one
-task. Edges that are few (a checked bound) are finished in one task."""
+Every task contracts what it holds to stars around the smallest node (a forest: never more edges than came in), at the
+start and after each shuffle; so a small table, which AQE gives to one task, is closed by the first. Each round then looks
+at every edge from both of its ends: the larger neighbours of a node are hung from the smallest node around it, then the
+smaller ones are (large-star and small-star). No round makes more edges or raises a root, and while a node hangs from two
+roots, or from one that hangs itself, some root gets smaller; so the rounds end, when every node hangs from one root that
+hangs from none. Each round is written to the shared folder, so a lost executor costs one task. The path is the same for
+every size."""
 
 from __future__ import annotations
 
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: At most so many edges (16 bytes each) are finished in one task.
-ONE_TASK = 500_000
+EDGES = "node long, root long"
 
 
 def labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -63,27 +63,25 @@ def _large_star(e: DataFrame) -> DataFrame:
     around = e.select(F.col("root").alias("x"), F.col("node").alias("y")).unionAll(e.select("node", "root"))
     least = materialize(around.groupBy("x").agg(F.least("x", F.min("y")).alias("least")), "least")  # a plain shuffle in the join, which AQE can split at a hub
     hung = e.join(least, e["root"] == least["x"]).select("node", F.col("least").alias("root"))
-    return materialize(hung.distinct(), "edges")
+    return materialize(hung.distinct().mapInArrow(_contract, EDGES), "edges")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours hang from the smallest of these."""
     least = materialize(e.groupBy(F.col("node").alias("x")).agg(F.min("root").alias("least")), "least")
     hung = e.join(least, e["node"] == least["x"]).where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
-    return materialize(hung.unionAll(least.select("x", "least")).distinct(), "edges")
+    return materialize(hung.unionAll(least.select("x", "least")).distinct().mapInArrow(_contract, EDGES), "edges")
 
 
-def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node that has an edge to another; edges has two long columns.
 
     Null ends and loops link nothing; repeated edges count once; no edges give an empty table."""
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
-    e = materialize(e.mapInArrow(_contract, "node long, root long"), "edges")
+    e = e.mapInArrow(_contract, EDGES).distinct().mapInArrow(_contract, EDGES)
+    e = materialize(e, "edges")
     while True:
-        if e.limit(one_task + 1).count() <= one_task:
-            e = materialize(e.coalesce(1).mapInArrow(_contract, "node long, root long"), "edges")
-            break
         ends = e.select(F.col("node").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionAll(e.select("root", F.lit(0), F.lit(1)))
         open_ = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 or hangs + holds > 1")
         if open_.isEmpty():
