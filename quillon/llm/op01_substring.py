@@ -4,18 +4,22 @@ A window is WINDOW consecutive words. A window's anchor is the least hash among
 have equal anchors, and neighbouring windows with one anchor form one passage; each window lies in exactly one passage
 whole. The corpus is its own reference, cut into blocks by anchor: a passage can match only passages of its block.
 
-1. Every document gives its passages (anchor, hash of the words, place). Anchors met once are dropped.
-2. Passages met twice or more are duplicates whole. Blocks with one distinct passage need nothing else.
+1. Every document gives its passages (anchor, 128-bit hash of the words, place). Anchors met once are dropped.
+2. Passages met twice or more are duplicates whole: a parse against a block that holds them has one factor. Blocks with
+   one distinct passage need nothing else.
 3. In blocks with several, the words of the distinct passages are indexed by their suffixes in order, and each passage
    met once is parsed greedily into longest matches against the whole block. Factors of WINDOW words or more become
    spans; at each factor's end the places inside it are checked for a match that crosses the boundary (see parsing).
-4. Blocks of more than CROWDED distinct passages are cut further, to a block per window, and met windows counted.
+4. A block has to fit a task: one of more than BLOCK distinct passages is indexed again by grams as long as a window,
+   which makes a block of each distinct window, and rule 2 decides.
+
+A word is known by 128 bits, which are its own bytes under 16 of them; a passage by two 64-bit hashes of these and its anchor.
 
 All words of the spans are removed. Windows are judged on the input.
 
 Null and empty text has no words and removes nothing; documents shorter than a window too. Repeated rows are copies of
 each other. Null keys are keys like others. An empty table gives an empty table. All columns are kept; of clashing names
-n_words, n_removed, kept and spans the operator's own stay. A task holds one document, or one block of CROWDED passages."""
+n_words, n_removed, kept and spans the operator's own stay. A task holds one batch of documents, or blocks of up to BLOCK passages."""
 
 from __future__ import annotations
 
@@ -27,62 +31,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import carried, materialize, small_batches, table, texts_in_row, texts_of, with_row
-from .parsing import factors, gram_hashes, longest_matches, window_anchors, word_hashes
+from .parsing import OTHER_BASE, factors, gram_hashes, longest_matches, window_anchors, word_hashes
 
 WINDOW = 35
 GRAM = 8
-CROWDED = 10_000
+#: The most distinct passages of a block that is indexed in one task.
+BLOCK = 10_000
 #: Words of the blocks that are indexed together.
 CHUNK = 200_000
 KEYS = ["__k1", "__k2"]
 OWN = ["n_words", "n_removed", "kept", "spans"]
 
 
-def passages(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor, hash, first window and windows of each passage, and the words' hashes."""
-    words = word_hashes(data)
+def passages(data: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchor, two hashes, first window and windows of each passage."""
+    words, others = word_hashes(data)
     anchor, first, n = window_anchors(words, window, gram)
-    said = np.empty(len(anchor), dtype=np.uint64)
+    said, also = np.empty(len(anchor), dtype=np.uint64), np.empty(len(anchor), dtype=np.uint64)
     long_ = n + window - 1
     for size in np.unique(long_):
         at = long_ == size
         said[at] = gram_hashes(words, int(size))[first[at]] + np.uint64(size)
-    return anchor, said, first, n, words
+        also[at] = gram_hashes(others, int(size), OTHER_BASE)[first[at]]
+    return anchor, said, also, first, n
 
 
 def _index(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             for k1, k2, t in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), texts_of(batch, "__text"), strict=True):
-                anchor, said, first, n, _ = passages(t.encode(), window, gram)
-                for c, x in zip(cols, (np.full(len(n), k1), np.full(len(n), k2), anchor.view(np.int64), said.view(np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
+                anchor, said, also, first, n = passages(t.encode(), window, gram)
+                for c, x in zip(cols, (np.full(len(n), k1), np.full(len(n), k2), anchor.view(np.int64), said.view(np.int64), also.view(np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
                     c.append(x)
             if sum(map(len, cols[0])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], [*KEYS, "anchor", "said", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], [*KEYS, "anchor", "said", "also", "first", "n"])
 
     return run
 
 
 def _words_of(window: int):
-    """From documents with their wanted passages to the passages' words; for crowded blocks to the hashes of windows."""
+    """From documents with their wanted passages to the passages' words; for blocks too large for a task to windows by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for k1, k2, t, wanted in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "__text", "wanted")), strict=True):
-                words = (t or "").encode().split()
-                hashes = None
+                data = (t or "").encode()
+                words, hashes = data.split(), None
                 for w in wanted:
-                    if w["crowded"]:
+                    if w["large"]:
                         if hashes is None:
-                            hashes = gram_hashes(word_hashes((t or "").encode()), window).view(np.int64)
-                        rows += [(k1, k2, int(hashes[i]), i, w["met"] > 1, None) for i in range(w["first"], w["first"] + w["n"])]
+                            a, b = word_hashes(data)
+                            hashes = gram_hashes(a, window).view(np.int64), gram_hashes(b, window, OTHER_BASE).view(np.int64)
+                        rows += [(k1, k2, int(hashes[0][i]), int(hashes[1][i]), i, w["met"] > 1, None) for i in range(w["first"], w["first"] + w["n"])]
                     else:
-                        rows.append((k1, k2, w["anchor"], w["first"], w["met"] > 1, b" ".join(words[w["first"] : w["first"] + w["n"] + window - 1])))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+                        rows.append((k1, k2, w["anchor"], 0, w["first"], w["met"] > 1, b" ".join(words[w["first"] : w["first"] + w["n"] + window - 1])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
             for i in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], [*KEYS, "anchor", "first", "whole", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)], [*KEYS, "anchor", "also", "first", "whole", "words"])
 
     return run
 
@@ -150,7 +157,7 @@ def _remove(text: str):
     return run
 
 
-def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, crowded: int = CROWDED, chunk: int = CHUNK) -> DataFrame:
+def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """All columns of df, n_words, n_removed, kept (words left, joined by one space) and spans (array of from and to, in words)."""
     if text in OWN:
         raise ValueError(f"the text column can't be called {text}, which the operator makes itself")
@@ -158,33 +165,34 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
     k1, k2 = F.xxhash64(F.lit(1), F.col(key), F.col(text)).alias("__k1"), F.xxhash64(F.lit(2), F.col(text), F.col(key)).alias("__k2")
     docs = df.select(carried(df, OWN), F.col(text).alias("__text"), k1, k2)
 
-    met = materialize(docs.select(*KEYS, "__text").mapInArrow(_index(window, gram), "__k1 long, __k2 long, anchor long, said long, first int, n int"), "passages")
-    again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("said").alias("a"), F.max("said").alias("b")).where("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    met = materialize(docs.select(*KEYS, "__text").mapInArrow(_index(window, gram), "__k1 long, __k2 long, anchor long, said long, also long, first int, n int"), "passages")
+    who = F.struct("said", "also")
+    again = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(who).alias("a"), F.max(who).alias("b")).where("c > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
     again = materialize(again, "again")  # as a table of its own both sides of the join are plain shuffles, and AQE splits an anchor that many passages share
     flagged = materialize(met.join(again, "anchor"), "repeated")
 
     span = lambda x: (F.col("first") + x).alias("to")
     simple = flagged.where(~F.col("mixed")).select(*KEYS, F.col("first").alias("from"), span(F.col("n") + (window - 1)))
     mixed = flagged.where("mixed")
-    distinct = mixed.groupBy("anchor", "said").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct(*KEYS, "first", "n")).alias("at"))
+    distinct = mixed.groupBy("anchor", "said", "also").agg(F.count(F.lit(1)).alias("met"), F.min(F.struct(*KEYS, "first", "n")).alias("at"))
     distinct = materialize(distinct, "distinct")
-    twice = distinct.where("met > 1").select("anchor", "said")
-    whole = mixed.join(twice, ["anchor", "said"], "left_semi").select(*KEYS, F.col("first").alias("from"), span(F.col("n") + (window - 1)))
+    twice = materialize(distinct.where("met > 1").select("anchor", "said", "also"), "twice")  # a table of its own, as again
+    whole = mixed.join(twice, ["anchor", "said", "also"], "left_semi").select(*KEYS, F.col("first").alias("from"), span(F.col("n") + (window - 1)))
 
-    many = distinct.groupBy("anchor").count().where(F.col("count") > crowded).select("anchor", F.lit(True).alias("crowded"))
-    wanted = distinct.join(many, "anchor", "left").select("at.*", "anchor", "met", F.coalesce("crowded", F.lit(False)).alias("crowded"))
-    wanted = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "n", "anchor", "met", "crowded")).alias("wanted"))
-    said = docs.select(*KEYS, "__text").join(wanted, KEYS).mapInArrow(_words_of(window), "__k1 long, __k2 long, anchor long, first int, whole boolean, words binary")
+    many = distinct.groupBy("anchor").count().where(F.col("count") > block).select("anchor", F.lit(True).alias("large"))
+    wanted = distinct.join(materialize(many, "large"), "anchor", "left").select("at.*", "anchor", "met", F.coalesce("large", F.lit(False)).alias("large"))
+    wanted = wanted.groupBy(*KEYS).agg(F.collect_list(F.struct("first", "n", "anchor", "met", "large")).alias("wanted"))
+    said = docs.select(*KEYS, "__text").join(wanted, KEYS).mapInArrow(_words_of(window), "__k1 long, __k2 long, anchor long, also long, first int, whole boolean, words binary")
     # a row of the input that is there twice brings its passages twice
     said = materialize(said.dropDuplicates([*KEYS, "first"]), "words")
     blocks = said.where("words is not null").repartition("anchor").sortWithinPartitions("anchor")
     parsed = blocks.mapInArrow(_parse(window, chunk), "__k1 long, __k2 long, `from` int, `to` int")
     windows = said.where("words is null")
-    counted = windows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    crossed = windows.where(~F.col("whole")).join(counted, "anchor", "left_semi").select(*KEYS, F.col("first").alias("from"), span(F.lit(window)))
+    counted = materialize(windows.groupBy("anchor", "also").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor", "also"), "windows")
+    crossed = windows.where(~F.col("whole")).join(counted, ["anchor", "also"], "left_semi").select(*KEYS, F.col("first").alias("from"), span(F.lit(window)))
 
     spans = simple.unionAll(whole).unionAll(parsed).unionAll(crossed)
-    spans = spans.groupBy(*KEYS).agg(F.collect_list(F.struct("from", "to")).alias("__spans"))
+    spans = spans.groupBy(*KEYS).agg(F.collect_set(F.struct("from", "to")).alias("__spans"))  # a set, so that copies of a row count once
     joined = docs.drop("__text").join(spans, KEYS, "left").select("__row", "__spans")  # the text travels once, in its row
     out = joined.mapInArrow(_remove(text), with_row(docs, "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"))
     return out.select("__row.*", *OWN)

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-
-#: Odd multipliers of the rolling hashes, modulo 2**64.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+import xxhash
+
+#: Odd multipliers of the two rolling hashes over words, modulo 2**64.
+WORD_BASE, OTHER_BASE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+#: Words of so many bytes are known by their hash.
+SHORT = 16
+#: The lowest i bytes of a number.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -30,27 +35,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A hash of each word [^\\x20\\x09-\\x0D]+ in its order."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.empty(0, dtype=np.uint64)
-    inside = np.zeros(len(b) + 2, dtype=np.int8)
+def word_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each word [^\\x20\\x09-\\x0D]+ in its order: a word under SHORT bytes itself with its length, a longer one's XXH3."""
+    size = len(data)
+    if not size:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    padded = np.frombuffer(data + bytes(16), dtype=np.uint8)
+    b = padded[:size]
+    inside = np.zeros(size + 2, dtype=np.int8)
     inside[1:-1] = (b != 32) & ((b < 9) | (b > 13))
     turns = np.diff(inside)
     starts, ends = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-    up, down = powers(BYTE_BASE, len(b))
-    sums = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    eight = np.ndarray(size + 9, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    n = ends - starts
+    low = eight[starts] & MASKS[np.minimum(n, 8)]
+    high = eight[starts + 8] & MASKS[np.clip(n - 8, 0, 7)] | (n.astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(n >= SHORT).tolist():
+        low[i], high[i] = np.frombuffer(xxhash.xxh3_128_digest(data[starts[i] : ends[i]]), dtype=np.uint64)
+    return low, high
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two different hashes of each word's 128 bits."""
+    low, high = word_ids(data)
+    return mixed(low + mixed(high)), mixed(high + mixed(low ^ np.uint64(WORD_BASE)))
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each run of k words."""
+def gram_hashes(words: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
+    """A hash of each run of k words, from the words' hashes."""
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(WORD_BASE, len(words))
+    up, down = powers(base, len(words))
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up, out=sums[1:])
     return mixed((sums[k:] - sums[:-k])[:n] * down[:n])
@@ -114,15 +130,23 @@ def longest_matches(ids: np.ndarray, depth: int) -> np.ndarray:
 
 
 def factors(longest: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The greedy parse's factors of at least `least` words, as (first, past the last).
+    """The greedy parse's duplicate spans, as (first, past the last).
 
-    Each factor is the longest match at its place. At its end, the places inside it are checked for a match that
-    crosses the boundary; the first such place starts the next factor, so that no match of that length is missed."""
-    starts = np.flatnonzero(longest >= least)
+    Each factor is the longest match at its place (or one word), the next starts at its end. A factor of at least `least`
+    words is a span. At its end the places inside the factor are checked for matches of that length that cross the
+    boundary; they all hold the boundary, so they make one span from the first of them to where the last ends."""
+    reach = [i + n if n >= least else 0 for i, n in enumerate(longest.tolist())]
+    sizes = longest.tolist()
     out: list[tuple[int, int]] = []
-    end = -1
-    for s, e in zip(starts.tolist(), (starts + longest[starts]).tolist(), strict=True):
-        if e > end:  # behind the last factor, or across its end
-            out.append((s, e))
-            end = e
+    at = covered = 0
+    while at < len(sizes):
+        end = at + max(1, sizes[at])
+        if reach[at] > covered:
+            out.append((at, end))
+            covered = end
+        crossing = [i for i in range(at + 1, min(end, len(sizes))) if reach[i] > max(end, covered)]
+        if crossing:
+            covered = max(reach[i] for i in crossing)
+            out.append((crossing[0], covered))
+        at = end
     return out
