@@ -1,21 +1,24 @@
 """Operator 8: SimHash fingerprints, linked at few differing bits through anchor points of a covering code.
 
-A 64-bit fingerprint is split into three parts; if two differ in at most four bits, they differ in at most one bit of
-some part. The anchors of a part are the words of a linear code whose covering radius is known: every part lies within
-`radius` of an anchor, its home. A part is replicated to every anchor within radius + 1, so a pair that differs in one
-bit of the part meets at the home of either. Homes and replicas are compared at each anchor by all 64 bits. Nothing is
-lost. Few fingerprints use the perfect Golay code (radius 3, 4,096 anchors a part); many use a Hamming code on 15 bits
-beside 8 bare bits (radius 1, 524,288 anchors), so that anchors stay small.
+A 64-bit fingerprint is split into three parts; if two differ in at most five bits, they differ in at most one bit of
+some part. The anchors of a part are the words of a linear code of covering radius 1, a Hamming code on 15 bits beside
+the bare other bits (524,288 anchors a part): every part lies within one bit of an anchor, its home. A part is replicated
+to every anchor within two bits, so a pair that differs in one bit of the part meets at the home of either. Homes and
+replicas are compared at each anchor by all 64 bits. Nothing is lost.
 
-Equal fingerprints are one row from the start. Anchors with many homes are split by salt, their replicas repeated for
-each salt. An anchor gives a spanning forest of its links, not all pairs.
+Equal fingerprints are one row from the start. Anchors with more than HOMES homes are split by salt, their replicas
+repeated for each salt. An anchor gives a spanning forest of its links, not all pairs.
 
 Null and empty text has fingerprint zero and links like any other. Null doc_ids are kept and take part; component_id is
 the smallest id that is not null, or null. Repeated rows and ties give equal results. An empty table gives an empty table.
 
 Near copies in the pipeline are another matter (near_copies): texts whose sets of COPY_SHINGLE words have a Jaccard
-similarity of at least SIMILAR, which fingerprints at few differing bits mostly miss. Candidates share one of BANDS bands
-of BAND minima (a pair at 0.8 is missed with probability 0.0002); within a band all sets are compared exactly."""
+similarity of at least SIMILAR. Fingerprints of such pairs differ in about ten bits of 64, where no covering code tells
+them from chance, so this stage takes another method: candidates share one of BANDS bands of BAND minima (a pair at 0.8 is
+missed with probability 0.0002), and the sets of a band are compared exactly. A band of many sets is dealt to groups of
+about GROUP, each with the band's first set, its pivot; sets that aren't linked to the pivot within their group are then
+compared with all sets of the band. Two sets that are both linked to the pivot need no comparison. So no link is lost, a
+task holds GROUP sets, and a large group of near copies costs its size and not its square."""
 
 from __future__ import annotations
 
@@ -37,12 +40,13 @@ SEED = 42
 DISTANCE = 4
 PARTS = ((0, 22), (22, 21), (43, 21))
 BITS = 23
-#: From so many distinct fingerprints on, the finer code is used.
-FINER = 1 << 21
+RADIUS = 1
 #: near_copies: words of a shingle, similarity, bands and minima of a band.
 COPY_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND = 16, 4
+#: Sets that are compared with each other in one task.
+GROUP = 1_000
 #: Homes of an anchor in one task.
 HOMES = 20_000
 
@@ -77,41 +81,27 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(run, f"__key {rows.schema['__key'].dataType.simpleString()}, fp long")
 
 
-def checks(fine: bool) -> list[int]:
-    """The column of the code's parity check for each of BITS bits."""
-    if fine:  # a Hamming code on 15 bits; the other bits are in no check
-        return [*range(1, 16), *[0] * (BITS - 15)]
-    rest, out = 1, []
-    for _ in range(BITS):  # powers of x modulo x^11+x^9+x^7+x^6+x^5+x+1
-        out.append(rest)
-        rest <<= 1
-        if rest >> 11:
-            rest ^= 0b101011100011
-    return out
-
-
-@lru_cache(maxsize=2)
-def covering(fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each syndrome: the pattern to the home; then all patterns to anchors within radius + 1, with their bounds; last the bits' checks."""
-    columns = checks(fine)
-    radius, syndromes = (1, 16) if fine else (3, 2048)
-    by: list[list[int]] = [[] for _ in range(syndromes)]
-    for weight in range(radius + 2):
+@lru_cache(maxsize=1)
+def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each syndrome: the pattern to the home; then all patterns to anchors within radius + 1, with their bounds; last the bits' parity checks."""
+    columns = [*range(1, 16), *[0] * (BITS - 15)]  # a Hamming code on 15 bits; the others are in no check
+    by: list[list[int]] = [[] for _ in range(16)]
+    for weight in range(RADIUS + 2):
         for bits in combinations(range(BITS), weight):
             s = p = 0
             for b in bits:
                 s ^= columns[b]
                 p |= 1 << b
             by[s].append(p)  # by weight, so the first is the home's
-    if any(not x or x[0].bit_count() > radius for x in by):
+    if any(not x or x[0].bit_count() > RADIUS for x in by):
         raise AssertionError("the code doesn't cover")
     bounds = np.cumsum([0, *map(len, by)])
     return np.array([x[0] for x in by], dtype=np.int64), np.array([p for x in by for p in x], dtype=np.int64), bounds, np.array(columns, dtype=np.int64)
 
 
-def anchors(fp: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor (with its part's number above), home (whether it is the home) and the row of fp."""
-    home, patterns, bounds, columns = covering(fine)
+    home, patterns, bounds, columns = covering()
     out = []
     for k, (low, n) in enumerate(PARTS):
         part = (fp >> low) & ((1 << n) - 1)
@@ -125,11 +115,11 @@ def anchors(fp: np.ndarray, fine: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def _replicate(fine: bool, homes_only: bool):
+def _replicate(homes_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy()
-            anchor, home, row = anchors(fp, fine)
+            anchor, home, row = anchors(fp)
             if homes_only:
                 anchor, row, home = anchor[home], row[home], home[home]
             for i in range(0, len(anchor), 50_000):
@@ -187,32 +177,27 @@ def _compare(distance: int):
     return run
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, finer: int = FINER, homes: int = HOMES) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, homes: int = HOMES) -> DataFrame:
     """node, root: a forest with the components of all pairs of distinct fingerprints (column fp) at most `distance` <= 5 bits apart."""
     if distance > 5:
         raise ValueError("three parts cover up to five bits")
-    fine = fps.count() > finer
     ddl = "anchor int, home boolean, fp long"
-    rows = fps.mapInArrow(_replicate(fine, False), ddl)
-    crowded = fps.mapInArrow(_replicate(fine, True), ddl).groupBy("anchor").count().where(F.col("count") > homes)
+    crowded = fps.mapInArrow(_replicate(True), ddl).groupBy("anchor").count().where(F.col("count") > homes)
     crowded = materialize(crowded.select("anchor", F.ceil(F.col("count") / homes).cast("int").alias("salts")), "anchors")
-    if crowded.isEmpty():
-        rows = rows.withColumn("salt", F.lit(0))
-    else:  # at most 3/homes of the fingerprints, and no more than there are anchors
-        rows = rows.join(F.broadcast(crowded), "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-        rows = rows.withColumn("salt", F.explode(F.when(F.col("home"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))))
-        # a home is a replica too, for the homes under the other salts
-        rows = rows.unionAll(rows.where("home").withColumn("salt", F.explode(F.array_except(F.sequence(F.lit(0), F.col("salts") - 1), F.array("salt")))).withColumn("home", F.lit(False)))
-    rows = rows.select("anchor", "salt", "home", "fp").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
+    rows = join_checked(fps.mapInArrow(_replicate(False), ddl), crowded, "anchor").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    # homes are dealt to salts; every row, homes too, is a replica for the homes under the other salts
+    own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("home"), own)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rows = rows.select("anchor", "salt", (F.col("home") & (F.col("salt") == F.col("own"))).alias("home"), "fp")
+    rows = rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
     return rows.mapInArrow(_compare(distance), "node long, root long")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, finer: int = FINER) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, homes: int = HOMES) -> DataFrame:
     """key, fp (long) and component_id (smallest key reachable)."""
     own = materialize(fingerprints(df, key, text), "fingerprints")
     least = materialize(own.groupBy("fp").agg(F.min("__key").alias("__least")), "fps")
-    found = components(links(least.select("fp"), distance, finer))
+    found = components(links(least.select("fp"), distance, homes))
     named = least.join(found, least["fp"] == found["node"], "inner").select("fp", "root", "__least")
     smallest = named.groupBy("root").agg(F.min("__least").alias("component_id"))
     linked = named.join(smallest, "root").select("fp", "component_id")
@@ -243,6 +228,26 @@ def _name(said: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(said.tobytes(), SEED)).view(np.int64))
 
 
+class Holders:
+    """Sets by their members, for comparing others with all of them."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.members, self.counts = np.unique(every, return_counts=True)
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.holder = np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def jaccard(self, own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.members, own).clip(0, len(self.members) - 1)
+        at = at[self.members[at] == own]
+        n = self.counts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shared = np.bincount(self.holder[places], minlength=len(self.sizes))
+        return shared / (self.sizes + len(own) - shared)
+
+
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     """The first set reachable from each by pairs of at least this Jaccard similarity."""
     n, sizes = len(sets), np.array([len(x) for x in sets])
@@ -269,8 +274,72 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return lab
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """key and component_id (smallest key reachable) of the rows that have a key; texts without words are equal."""
+def _in_groups(dealt: DataFrame, said: DataFrame) -> DataFrame:
+    """Every set beside its band and group; a group's rows together, those that are first before the others."""
+    return dealt.join(said, "name").select("band", "group", "groups", "first", "name", "said").repartition("band", "group").sortWithinPartitions("band", "group", F.desc("first"), "name")
+
+
+def _edges(band: int, node: np.ndarray, root: np.ndarray | None) -> pa.RecordBatch:
+    cols = [pa.array(np.full(len(node), band)), pa.array(node), pa.array(root) if root is not None else pa.nulls(len(node), pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, ["band", "node", "root"])
+
+
+def _within(similarity: float):
+    """Links within each group; of bands in several groups also the sets that aren't linked to the first, with root null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> Iterator[pa.RecordBatch]:
+            if names:
+                name, lab = np.array(names, dtype=np.int64), similar(held, similarity)
+                root = name[lab]
+                yield _edges(now[0], name[root != name], root[root != name])
+                if now[2] > 1:
+                    yield _edges(now[0], name[lab != 0], None)
+
+        now, names, held = None, [], []
+        for batch in batches:
+            sets = batch.column("said")
+            for i, at in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "group", "groups")), strict=True)):
+                if at != now:
+                    yield from close()
+                    now, names, held = at, [], []
+                names.append(batch.column("name")[i].as_py())
+                held.append(sets[i].values.to_numpy())
+        yield from close()
+
+    return run
+
+
+def _across(similarity: float):
+    """Links of each group's first sets with all that come after them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, held, known = None, [], [], None
+        for batch in batches:
+            sets, out = batch.column("said"), ([], [], [])
+            for i, (band, group, first, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "group", "first", "name")), strict=True)):
+                if (band, group) != now:
+                    now, names, held, known = (band, group), [], [], None
+                if first:
+                    names.append(name)
+                    held.append(sets[i].values.to_numpy())
+                    continue
+                if not held:  # no stray was dealt here
+                    continue
+                if known is None:
+                    known = Holders(held)
+                own = sets[i].values.to_numpy()
+                for j in np.flatnonzero(known.jaccard(own) >= similarity - 1e-12).tolist():
+                    if names[j] != name:
+                        for o, x in zip(out, (band, name, names[j]), strict=True):
+                            o.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["band", "node", "root"])
+
+    return run
+
+
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR, group: int = GROUP) -> DataFrame:
+    """key (of any type that can be ordered) and component_id (smallest key reachable) of the rows that have a key; texts without words are equal."""
     small_batches(df.sparkSession)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
@@ -285,36 +354,28 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
             said = [shingles(t) for t in texts_of(batch, "__text")]
             yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in said], pa.int64()), pa.array([x.view(np.int64) for x in said], pa.list_(pa.int64()))], ["name", "said"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by band."""
-
-        def close() -> pa.RecordBatch:
-            name = np.array(names, dtype=np.int64)
-            root = name[similar(held, similarity)] if len(held) > 1 else name
-            return pa.RecordBatch.from_arrays([pa.array(name[root != name]), pa.array(root[root != name])], ["node", "root"])
-
-        now, names, held = None, [], []
-        for batch in batches:
-            said = batch.column(2)
-            for i, (band, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if band != now:
-                    yield close()
-                    now, names, held = band, [], []
-                names.append(name)
-                held.append(said[i].values.to_numpy())
-        yield close()
-
     own = materialize(rows.mapInArrow(named, f"__key {kind}, name long, bands array<long>"), "names")
     least = materialize(own.groupBy("name").agg(F.min("__key").alias("__least"), F.first("bands").alias("bands")), "sets")
     cells = least.select("name", F.explode("bands").alias("band"))
-    met = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("name")).alias("who"), F.min("name").alias("low")).where("n > 1")
-    met = met.groupBy("n", "who", "low").agg(F.min("band").alias("band")).select("band")  # bands with the same members are compared once
+    met = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("name")).alias("who"), F.min("name").alias("pivot")).where("n > 1")
+    met = met.groupBy("n", "who", "pivot").agg(F.min("band").alias("band"))  # bands with the same members are compared once
+    met = materialize(met.select("band", "pivot", F.ceil(F.col("n") / group).cast("int").alias("groups")), "bands")
     members = materialize(cells.join(met, "band"), "members")
     asked = members.select("name").distinct().join(least, "name").select(F.col("__least").alias("__key")).distinct()
     said = join_checked(rows, materialize(asked, "asked"), "__key", "left_semi").mapInArrow(sets, "name long, said array<long>")
     said = materialize(said.groupBy("name").agg(F.first("said").alias("said")), "said")
-    dealt = members.join(said, "name").select("band", "name", "said").repartition("band").sortWithinPartitions("band", "name")
-    found = components(dealt.mapInArrow(compare, "node long, root long"))
+    groups = F.sequence(F.lit(0), F.col("groups") - 1)
+    dealt = members.select("band", "groups", "name", (F.col("name") == F.col("pivot")).alias("first"))
+    dealt = dealt.withColumn("group", F.explode(F.when(F.col("first"), groups).otherwise(F.array(F.pmod(F.xxhash64("name"), F.col("groups")).cast("int")))))
+    ddl = "band long, node long, root long"
+    near = _in_groups(dealt, said).mapInArrow(_within(similarity), ddl)
+    near = materialize(near, "near")
+    strays = near.where("root is null").select("band", F.col("node").alias("name"))
+    split = materialize(strays.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups")), "strays")
+    homes = strays.join(split, "band").select("band", "groups", "name", F.lit(True).alias("first"), F.pmod(F.xxhash64("name"), F.col("groups")).cast("int").alias("group"))
+    others = members.select("band", "name").join(split, "band").select("band", "groups", "name", F.lit(False).alias("first"), F.explode(groups).alias("group"))
+    far = _in_groups(homes.unionAll(others), said).mapInArrow(_across(similarity), ddl)
+    found = components(near.where("root is not null").select("node", "root").unionAll(far.select("node", "root")))
     linked = least.select("name", "__least").join(found, least["name"] == found["node"], "left").select("name", "__least", F.coalesce("root", "name").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("__least").alias("component_id"))
     known = materialize(linked.join(smallest, "root").select("name", "component_id"), "known")
