@@ -15,8 +15,8 @@ Vectors of different lengths never link; each length is searched on its own, wit
 at most SMALL different vectors, too few to learn from, all pairs are compared.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0, component_id
-their own id. Null and repeated ids are rows like others; a component's id
-is the smallest that isn't null. An empty table gives an empty table. Other columns are left out."""
+their own id. Null and repeated ids are rows like others; a component's id is the smallest that isn't null, or null where
+there is none; a row with a null id is kept only in such a component. An empty table gives an empty table. Other columns are left out."""
 
 from __future__ import annotations
 
@@ -135,9 +135,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     sound = F.col(embedding).isNotNull() & (F.size(embedding) > 0)
     sound = sound & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(F.col(key).alias("__key"), F.when(sound, v).alias("vector"))
-    rows = rows.select("__key", "vector", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")).alias("node"))
-    distinct = rows.where("node is not null").groupBy("node").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"), F.min("__key").alias("least"))
-    distinct = materialize(distinct, "vectors")
+    # a vector is known by 128 bits; its node is a number that the written table fixes
+    names = [F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(k), F.col("vector"))).alias(f"v{k}") for k in (1, 2)]
+    rows = rows.select("__key", "vector", *names)
+    distinct = rows.where("v1 is not null").groupBy("v1", "v2").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"), F.min("__key").alias("least"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     lengths = {r["d"]: r["count"] for r in distinct.groupBy(F.size("vector").alias("d")).count().where("count > 1").collect()}
     large = sorted(d for d, n in lengths.items() if n > SMALL)
     vectors = distinct.select("node", "vector")
@@ -149,11 +151,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     found = components(pairs)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(distinct.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    known = distinct.select("node", "size", "least").join(degree, "node", "left").join(found, "node", "left")
+    known = distinct.select("v1", "v2", "node", "size", "least").join(degree, "node", "left").join(found, "node", "left")
     smallest = known.where("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    known = known.join(smallest, "root", "left").select("node", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("smallest", "least").alias("c"))
-    out = rows.select("__key", "node").join(known, "node", "left")
-    return out.select(F.col("__key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "__key").alias("component_id")).withColumn("kept", F.col(key) == F.col("component_id"))
+    known = known.join(smallest, "root", "left").select("v1", "v2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("smallest", "least").alias("c"))
+    out = rows.select("__key", "v1", "v2").join(known, ["v1", "v2"], "left")
+    out = out.select(F.col("__key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "__key").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
