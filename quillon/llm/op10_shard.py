@@ -1,25 +1,28 @@
 """Operator 10: sharding by a two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters the rows uniformly into buckets of about BUCKET_BYTES by a seeded hash of the key. Pass two holds one
-bucket at a time, puts it in key order and Fisher-Yates-shuffles it with the built-in shuffle(), whose generator
-follows the seed and the task, so a repeated task gives the same order. The buckets' prefix counts, taken in two
-levels, make the order global. Law "rows": shard s takes places ceil(s*n/shards) up to the next shard's start, so
-counts are at most one apart.
+Pass one scatters the rows uniformly into buckets of about BUCKET_BYTES, by a seeded hash of the key and of the row's number
+in its task (so equal or null keys don't share a bucket), and writes them to the shared folder; from there on a repeated
+task finds every row in its bucket. Pass two brings BUCKETS buckets to a task, puts each in key order and
+Fisher-Yates-shuffles it with the built-in shuffle(), whose generator follows the seed and the task. The buckets' prefix counts,
+taken in two levels, make the order global. Law "rows": shard s takes places ceil(s*n/shards) up to the next shard's start, so
+counts are at most one apart. For one layout of the input's files and one number of partitions the order follows the seed alone.
 
-Null text has size 8 and checksum 0; null and repeated keys are rows like others (equal keys share a bucket, ties are
-put in order by the text). An empty table gives an empty table. Other columns are kept; of a clashing name the
-operator's own column stays. Copies of a text are spread by their keys, so no group of copies makes a bucket large."""
+Null text has size 8 and checksum 0; null and repeated keys are rows like others (ties are put in order by the text). An
+empty table gives an empty table. Other columns are kept; of a clashing name the operator's own column stays. A single text
+is never cut: a bucket that holds one longer than BUCKET_BYTES is as large as that text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, table
+from .common import join_checked, materialize, table
 
 SHARDS = 24
 SEED = 20_240_607
 BUCKET_BYTES = 4 << 20
+#: Buckets that a task of pass two takes.
+BUCKETS = 8
 #: Levels of the prefix count: so many groups of buckets.
 GROUPS = 256
 
@@ -33,17 +36,19 @@ def shuffle_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     kept = [c for c in df.columns if c not in ("place", "shard", "slot")]
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size_of(text)), F.lit(0))).first()
     n_buckets = max(1, -(-total // bucket_bytes))
-    per_group = -(-n_buckets // GROUPS)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n_buckets)).alias("__bucket")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.monotonically_increasing_id()), F.lit(n_buckets)).alias("__bucket")
+    rows = F.struct(F.col(key).alias("key"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
+    scattered = materialize(df.select(bucket, rows.alias("__row")), "scattered")
 
-    counts = df.select(bucket).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / per_group))
+    per_group = -(-n_buckets // GROUPS)
+    counts = scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / per_group))
+    counts = materialize(counts, "counts")
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__group").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = counts.groupBy("__group").agg(F.sum("__n").alias("__n"))  # GROUPS rows at most
     first = F.coalesce(F.sum("__n").over(Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__before", before).join(F.broadcast(groups.select("__group", first.alias("__first"))), "__group").select("__bucket", (F.col("__before") + F.col("__first")).alias("__start"))
 
-    rows = F.struct(F.col(key).alias("key"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"))
-    held = df.select(bucket, rows.alias("__row")).groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    held = scattered.repartition(-(-n_buckets // BUCKETS), "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     mixed = held.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     placed = join_checked(mixed, starts, "__bucket").select("__start", F.posexplode("__rows").alias("__at", "__row"))
     placed = placed.select("__row.row", (F.col("__start") + F.col("__at")).alias("place"))
