@@ -6,7 +6,8 @@ declared  the language the markup (or the record) declares: right with probabili
 suffix    the address suffix, by the languages seen with it
 host      the languages seen at the host, shrunk to those of its suffix, shrunk to those of the whole table (strengths HOST, SUFFIX)
 
-Likelihoods are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids; the counts of hosts and suffixes
+Likelihoods are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids (of rows that share an id and
+a language the least text); the counts of hosts and suffixes
 are grouped aggregates over all rows, joined by broadcast only if a check finds few rows. The host's prior leaves the
 row's own declaration out, so that no evidence counts twice.
 
@@ -70,9 +71,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     bounds = [(l, min(1.0, (1.5 * sample + 1000) / n)) for l, n in met.items()]
     bounds = spark.createDataFrame(bounds, "l string, share double")
     hashed = labelled.select(key, F.col(lang).alias("l"), F.xxhash64(F.col(key)).alias("h")).join(F.broadcast(bounds), "l")
-    hashed = hashed.where((F.col("share") >= 1) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)))
+    hashed = hashed.where((F.col("share") >= 1) | (F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))).distinct()
     ranked = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy("h", key)))
-    ids = materialize(ranked.where(F.col("rank") <= sample).select(key, "l").distinct(), "sample")
+    ids = materialize(ranked.where(F.col("rank") <= sample).select(key, "l"), "sample")
     number = {l: i for i, l in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,9 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
             b = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([number[l]] * len(b), pa.int32()), pa.array(b, pa.int32()), pa.array(c[b])], ["l", "b", "c"])
 
-    rows = join_checked(labelled.select(key, F.col(lang).alias("l"), F.col(text).alias("__text")), ids, [key, "l"], "inner").select("l", "__text")
+    # one text an id, however often an id is repeated, so that the sample's bound holds
+    rows = join_checked(labelled.select(key, F.col(lang).alias("l"), F.col(text).alias("__text")), ids, [key, "l"], "inner").groupBy(key, "l").agg(F.min("__text").alias("__text"))
+    rows = materialize(rows.select("l", "__text"), "texts")
     counts = np.zeros((BUCKETS, len(languages)))
     got = rows.mapInArrow(count, "l int, b int, c long").groupBy("l", "b").agg(F.sum("c").alias("c")).toPandas()  # BUCKETS x languages at most
     counts[got["b"].to_numpy(), got["l"].to_numpy()] = got["c"].to_numpy()

@@ -8,7 +8,8 @@ documents of each grade, chosen by the hash of their ids and weighted to the gra
 everything else covers all rows.
 
 Null and empty text has no features and severity 0 (nothing to judge). Null labels are not used; a label whose quality
-is null counts as grade 1 if toxic. Without labels of both kinds every severity is 0. Repeated rows score alike. An
+is null counts as grade 1 if toxic. Of several labels of one id the highest grade counts, of several texts of a labelled id
+the least one. Without labels of both kinds every severity is 0. Repeated rows score alike. An
 empty table gives an empty table. All columns are kept; of clashing names the operator's own stay."""
 
 from __future__ import annotations
@@ -126,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """labels: key, toxic, quality."""
     small_batches(docs.sparkSession)
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
-    graded = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(key, grade.alias("grade"))
+    graded = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(grade).alias("grade"))
+    graded = materialize(graded, "grades")
     chosen = materialize(sampled(graded, key, "grade", sample), "sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([list(found.of(t)) for t in texts_of(batch, "__text")], pa.list_(pa.int32()))], ["grade", "features"])
 
-    rows = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key)
+    # one text an id, however often an id is repeated, so that the sample's bound holds
+    rows = docs.select(key, F.col(text).alias("__text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("__text").alias("__text"), F.min("grade").alias("grade"))
     rows = materialize(rows.select("grade", "__text").mapInArrow(extract, "grade int, features array<int>"), "features")
     size = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sum(n for g, n in size.items() if g), size.get(0, 0)
