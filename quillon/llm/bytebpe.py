@@ -46,9 +46,13 @@ class ByteBPE:
         # merges: rank by pair, and for each token the pair it is made of
         self.pair: dict[tuple[int, int], int] = {}
         self.left, self.right = list(range(self.size)), list(range(self.size))
+        last = -1
         for pair in spec["model"]["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             made = vocab[a + b]
+            if made <= last:
+                raise ValueError("token ids must rise with the order of merges, as they serve as ranks")
+            last = made
             self.pair[vocab[a], vocab[b]] = made
             self.left[made], self.right[made] = vocab[a], vocab[b]
         self.length = np.array([len(t) for t in self.token], dtype=np.int64)

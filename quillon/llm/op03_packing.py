@@ -82,7 +82,9 @@ class Bins:
 
 
 def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row per piece: key, start, length, ids_le (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset."""
+    """A row per piece: key, start, length, ids_le (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset. The key can't be called like another of these."""
+    if key in dict(FIELDS):
+        raise ValueError(f"the operator makes {key} itself")
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -60,7 +60,9 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...]) -> DataFrame:
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass, so that ids need not travel."""
+    """key, n_tokens, ids_sha256, decoded_sha256: encoded and decoded in one pass, so that ids need not travel. The key can't be called like another of these."""
+    if key in ("n_tokens", "ids_sha256", "decoded_sha256"):
+        raise ValueError(f"the operator makes {key} itself")
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,15 +51,31 @@ def brute_substring(rows, window=35):
     return out
 
 
-@pytest.mark.parametrize("crowded", [10_000, 0])
-def test_substring(docs, crowded):
+@pytest.mark.parametrize("block", [10_000, 0])
+def test_substring(docs, block):
     rows = corpus()
     want = Counter((r[0], *x) for r, x in zip(rows, brute_substring([r[1] for r in rows]), strict=True))
-    got = op01_substring.substring_dedup(docs, crowded=crowded, chunk=500)
+    got = op01_substring.substring_dedup(docs, block=block, chunk=500)
     assert got.columns == [*docs.columns, "n_words", "n_removed", "kept", "spans"]
     assert Counter(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept").collect()) == want
 
 
+def test_substring_compares_words(spark):
+    a, b = "ab"
+    for _ in range(11):
+        a, b = a + b, b + a
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*words[:20], x, *words[20:]]) for x in (a, b)]  # one word differs, its polynomial hash doesn't
+    got = op01_substring.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r["n_removed"] for r in got.collect()] == [0, 0]
+
+
+def test_substring_takes_copies_of_a_row(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    got = op01_substring.substring_dedup(spark.createDataFrame([(1, text)] * 300 + [(2, "a " + text)], "doc_id long, text string")).collect()
+    assert len(got) == 301 and {(r["doc_id"], r["n_removed"], r["kept"]) for r in got} == {(1, 50, ""), (2, 50, "a")}
+
+
 def test_substring_empty(empty):
     assert op01_substring.substring_dedup(empty).count() == 0
 
@@ -224,6 +240,34 @@ def test_trees_learn_a_step(spark):
     assert wrong < 35
 
 
+def test_trees_equal_plain_evaluation(spark):
+    """The expression gives what walking the trees gives; the first tree's root is the best split by brute force."""
+    rng = random.Random(2)
+    rows = [([float(rng.randint(0, 9)), float(rng.randint(0, 5))], int(rng.random() < 0.2 + 0.6 * (i % 3 == 0))) for i in range(300)]
+    rows = [(x, int(x[0] > 6) if rng.random() < 0.9 else y) for x, y in rows]
+    df = spark.createDataFrame(rows, "__x array<double>, y int")
+    model = op05_urls.fit(df, 2, trees=3)
+
+    def walk(node, x):
+        while isinstance(node, dict):
+            node = node["low"] if x[node["feature"]] <= node["most"] else node["high"]
+        return node
+
+    for r in df.select("__x", model.score(F.col("__x")).alias("s")).collect():
+        assert r["s"] == pytest.approx(model.base + sum(walk(t, r["__x"]) for t in model.trees))
+    p = sum(y for _, y in rows) / len(rows)
+    p = (sum(y for _, y in rows) + 0.25) / (len(rows) + 1)
+
+    def gain(f, cut):
+        a, b = [y - p for x, y in rows if x[f] <= cut], [y - p for x, y in rows if x[f] > cut]
+        h = p * (1 - p)
+        return sum(a) ** 2 / (len(a) * h + 1) + sum(b) ** 2 / (len(b) * h + 1)
+
+    splits = [(f, c) for f, top in ((0, 9), (1, 5)) for c in range(top) if any(x[f] > c for x, _ in rows)]
+    root = model.trees[0]
+    assert gain(root["feature"], root["most"]) == pytest.approx(max(gain(f, c) for f, c in splits))
+
+
 def test_url_queries_stay_native(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     for frame in (op05_urls.judge(df), op10_shard.shuffle_shards(df, "page_id", "url")):
@@ -231,6 +275,82 @@ def test_url_queries_stay_native(spark):
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_samples_hold_though_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, "le la", "fr")] * 300 + [(i, "the that", "en") for i in range(2, 60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 1)] * 300 + [(i, 1, 0) for i in range(2, 60)], "doc_id long, quality int, toxic int")
+    model = op02_language.train(docs)
+    likely = np.exp(model.log_likelihood)
+    grams = len(op02_language.trigrams("le la"))
+    assert likely[op02_language.trigrams("le la")[0], model.languages.index("fr")] == pytest.approx(1.5 / (0.5 * op02_language.BUCKETS + grams))
+    assert op06_toxicity.train(docs, labels) is None  # one toxic document is too few for any feature
+
+
+def test_language_posterior_equals_the_formula(spark):
+    """All evidence at once, by counting in Python."""
+    rng = random.Random(8)
+    said = lambda l: " ".join(rng.choice({"en": "the that with this".split(), "fr": "les que une dans".split()}[l]) for _ in range(rng.randint(1, 9)))
+    rows = [(i, said(l), rng.choice([l, l, "en", None]), rng.choice(["h1", "h2", None]), rng.choice(["com", "fr", None])) for i in range(60) for l in [rng.choice(["en", "fr"])]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string")
+    model = op02_language.train(df)
+    names = model.languages
+    count = lambda pick: np.array([sum(r[2] == l and pick(r) for r in rows) for l in names], dtype=float)
+    got = {r["doc_id"]: r for r in op02_language.identify(df, model, declared="lang", host="host", suffix="suffix").collect()}
+    for i, text, lang, host, suffix in rows:
+        own = np.array([float(lang == l) for l in names])
+        prior = count(lambda r: True) + 1
+        prior = prior / prior.sum()
+        if suffix:
+            n = count(lambda r: r[4] == suffix) - own
+            prior = (n + op02_language.SUFFIX * prior) / (n.sum() + op02_language.SUFFIX)
+        if host:
+            n = count(lambda r: r[3] == host) - own
+            prior = (n + op02_language.HOST * prior) / (n.sum() + op02_language.HOST)
+        grams = op02_language.trigrams(text)
+        k = min(len(grams), op02_language.TRIGRAMS)
+        by_text = model.log_likelihood[grams].mean(axis=0) * k
+        weight = by_text + np.log(prior) + (np.log(np.where(own > 0, 0.9, 0.1)) if lang else 0.0)
+        near = int(np.argmax(by_text))
+        none = (model.usual[near] - model.slack[near] * np.sqrt(op02_language.TRIGRAMS / k)) * k + np.log(op02_language.NONE) - (np.log(len(names)) if lang else 0.0)
+        p = np.exp(weight - weight.max())
+        p /= p.sum() + np.exp(none - weight.max())
+        assert got[i]["language"] == names[int(np.argmax(p))] and got[i]["posterior"] == pytest.approx(p.max(), rel=1e-6)
+
+
+def test_language_of_pages(spark):
+    pages = [(1, "http://a.fr/fr/x", '<html lang="fr"><body><script>the that</script>les que une dans les que</body></html>'), (2, "http://b.com/en/", "<p>the that with this the that</p>"), (3, "no url", None), (4, None, "")]
+    evidence = {r["page_id"]: r for r in op02_language.page_evidence(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert evidence[1]["text"].split() == "les que une dans les que".split()
+    assert [(evidence[i]["declared"], evidence[i]["host"], evidence[i]["suffix"]) for i in (1, 2)] == [("fr", "a.fr", "fr/fr"), (None, "b.com", "com/en")]
+    assert evidence[3]["host"] is None and evidence[4]["host"] is None and evidence[3]["declared"] is None
+
+
+def test_toxicity_fit_is_a_maximum_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    n, f = 300, 6
+    held = rng.random((n, f)) < 0.4
+    held[:, 0] |= ~held.any(axis=1)
+    rows, cols = np.nonzero(held)
+    x = held / np.sqrt(held.sum(axis=1, keepdims=True))
+    true = np.array([3.0, -2.0, 0.5, 0.0, 1.0, -1.0])
+    latent = x @ true + rng.logistic(size=n)
+    grades = (latent > 0.5).astype(int) + (latent > 2.0)
+    shares = np.bincount(grades, minlength=3) / n
+    w, t = op06_toxicity.fit(rows, cols, grades, f, shares, steps=1500, rate=0.05, penalty=1e-5)
+
+    def loss(w, t):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - t[None, :])))
+        p = np.column_stack([np.ones(n), above]) - np.column_stack([above, np.zeros(n)])
+        return -np.log(p[np.arange(n), grades]).mean() + 0.5e-5 * w @ w
+
+    best = loss(w, t)
+    for i in range(f + 2):
+        for step in (-0.1, 0.1):
+            a, b = w.copy(), t.copy()
+            (a if i < f else b)[i if i < f else i - f] += step
+            assert loss(a, b) > best
+    assert np.corrcoef(w, true)[0, 1] > 0.95 and t[0] < t[1]
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(1)
     texts = []
@@ -279,11 +399,10 @@ def reach(links, nodes):
     return low
 
 
-@pytest.mark.parametrize("one_task", [500_000, 0])
-def test_components(spark, one_task):
+def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3), (1, None)]
-    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(4), one_task)
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(4))
     real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     want = reach(real, {x for p in real for x in p})
     assert {r["node"]: r["root"] for r in got.collect()} == want and got.count() == len(want)
@@ -298,7 +417,7 @@ def test_components_across_tasks(spark):
             spark.conf.set(k, v)
         links = [x for i in range(2000) for x in ((3 * i + 2, 3 * i + 1), (3 * i + 1, 3 * i))]
         links += [(10_000 + i, 10_001 + i) for i in range(60)] + [(20_000, 20_001 + i) for i in range(300)]
-        got = components.components(spark.createDataFrame(links, "a long, b long").repartition(24), 0).collect()
+        got = components.components(spark.createDataFrame(links, "a long, b long").repartition(24)).collect()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -306,9 +425,8 @@ def test_components_across_tasks(spark):
     assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("finer,homes", [(1 << 21, 20_000), (0, 2)])
-def test_simhash(spark, docs, empty, finer, homes, monkeypatch):
-    monkeypatch.setattr(op08_simhash.links, "__defaults__", (4, finer, homes))
+@pytest.mark.parametrize("homes", [20_000, 2])
+def test_simhash(docs, empty, homes):
     rows = corpus()
     fps = [op08_simhash.fingerprint(r[1] or "") & (2**64 - 1) for r in rows]
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
@@ -318,11 +436,31 @@ def test_simhash(spark, docs, empty, finer, homes, monkeypatch):
         if r[0] is not None and (least[root[i]] is None or r[0] < least[root[i]]):
             least[root[i]] = r[0]
     want = Counter((r[0], fps[i], least[root[i]]) for i, r in enumerate(rows))
-    got = op08_simhash.near_duplicates(docs, finer=finer).collect()
+    got = op08_simhash.near_duplicates(docs, homes=homes).collect()
     assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
     assert op08_simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [1000, 3])
+def test_near_copies_equal_brute_force_in_a_large_group(spark, group):
+    """Chains and stars of near copies: the pivot links to some only, strays link among themselves and to others."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        for k in range(0, i):  # drifts away from the first; neighbours are near
+            copy[(k * 3) % 120] = f"n{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join([*base[:-1], word()]) for _ in range(30)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = reach(links, range(len(sets)))
+    got = op08_simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), group=group).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_near_copies(spark, docs, empty):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
@@ -358,6 +496,19 @@ def test_tiff(docs, empty):
     assert op09_tiff.decode(op09_tiff.to_tiff(empty)).count() == 0
 
 
+@pytest.mark.parametrize("form", op09_tiff.FORMS)
+def test_tiff_forms(docs, form):
+    stored = op09_tiff.to_tiff(docs, keep=("doc_id", "text"), form=form)
+    for r in op09_tiff.decode(stored, keep=("doc_id", "text")).collect():
+        assert b"".join(p["samples"] for p in r["pages"]) == op09_tiff.payload(r["text"] or "") and {p["compression"] for p in r["pages"]} == {form[0]}
+
+
+def test_own_names_are_refused(docs):
+    for call in (lambda: op09_tiff.to_tiff(docs, keep=("media",)), lambda: op03_packing.pack(docs.withColumnRenamed("doc_id", "length"), "", key="length"), lambda: op07_bpe.round_trip(docs.withColumnRenamed("doc_id", "n_tokens"), "", key="n_tokens")):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_tiff_pages(spark):
     image = np.arange(600, dtype=np.uint8).reshape(20, 30)
     media = [tiff.write([image, image.T.copy()], tiff.LZW, 2, tile=(16, 16)), b"junk", None, tiff.write([image], tiff.PACKBITS, big=True)]
@@ -382,6 +533,14 @@ def test_shards(docs, empty):
     assert op10_shard.shuffle_shards(empty).count() == 0
 
 
+def test_shards_spread_equal_keys(spark):
+    df = spark.createDataFrame([(None, "x" * 100)] * 2000, "doc_id long, text string").repartition(4)
+    got = op10_shard.shuffle_shards(df, bucket_bytes=4000)
+    assert got.count() == 2000 and sorted(r["place"] for r in got.collect()) == list(range(2000))
+    scattered = max((p for p in __import__("pathlib").Path(spark.conf.get("spark.checkpoint.dir")).glob("scattered-*")), key=lambda p: p.stat().st_mtime)
+    assert max(r["count"] for r in spark.read.parquet(str(scattered)).groupBy("__bucket").count().collect()) < 100
+
+
 def test_shards_written(docs, tmp_path):
     op10_shard.write_shards(op10_shard.shuffle_shards(docs.select("doc_id", "text"), shards=3), str(tmp_path / "out"), files=4)
     back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
