@@ -17,8 +17,8 @@ similarity of at least SIMILAR. Fingerprints of such pairs differ in about ten b
 them from chance, so this stage takes another method: candidates share one of BANDS bands of BAND minima (a pair at 0.8 is
 missed with probability 0.0002), and the sets of a band are compared exactly. A band of many sets is dealt to groups of
 about GROUP, each with the band's first set, its pivot; sets that aren't linked to the pivot within their group are then
-compared with all sets of the band. Two sets that are both linked to the pivot need no comparison. So no link is lost, a
-task holds GROUP sets, and a large group of near copies costs its size and not its square."""
+compared with all sets of the band, GROUP by GROUP. Two sets that are both linked to the pivot need no comparison. So no link is lost, a
+task holds twice GROUP sets, and a large group of near copies costs its size and not its square."""
 
 from __future__ import annotations
 
@@ -45,8 +45,8 @@ RADIUS = 1
 COPY_SHINGLE = 5
 SIMILAR = 0.8
 BANDS, BAND = 16, 4
-#: Sets that are compared with each other in one task.
-GROUP = 1_000
+#: Sets of a band that are compared with each other, or with as many others, in one task.
+GROUP = 400
 #: Homes of an anchor in one task.
 HOMES = 20_000
 
@@ -311,14 +311,22 @@ def _within(similarity: float):
 
 
 def _across(similarity: float):
-    """Links of each group's first sets with all that come after them."""
+    """A forest of the links between each group's first sets and those that come after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, held, known = None, [], [], None
+        now, names, held, known, links = None, [], [], None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if links:
+                node, root = stars(*(np.array(x, dtype=np.int64) for x in zip(*links, strict=True)))
+                links.clear()
+                yield _edges(now[0], node, root)
+
         for batch in batches:
-            sets, out = batch.column("said"), ([], [], [])
+            sets = batch.column("said")
             for i, (band, group, first, name) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("band", "group", "first", "name")), strict=True)):
                 if (band, group) != now:
+                    yield from close()
                     now, names, held, known = (band, group), [], [], None
                 if first:
                     names.append(name)
@@ -328,12 +336,11 @@ def _across(similarity: float):
                     continue
                 if known is None:
                     known = Holders(held)
-                own = sets[i].values.to_numpy()
-                for j in np.flatnonzero(known.jaccard(own) >= similarity - 1e-12).tolist():
-                    if names[j] != name:
-                        for o, x in zip(out, (band, name, names[j]), strict=True):
-                            o.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], ["band", "node", "root"])
+                near = np.flatnonzero(known.jaccard(sets[i].values.to_numpy()) >= similarity - 1e-12).tolist()
+                links += [(name, names[j]) for j in near if names[j] != name]
+                if len(links) > 500_000:
+                    links[:] = list(zip(*(x.tolist() for x in stars(*(np.array(x, dtype=np.int64) for x in zip(*links, strict=True)))), strict=True))
+        yield from close()
 
     return run
 
@@ -371,10 +378,14 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     near = _in_groups(dealt, said).mapInArrow(_within(similarity), ddl)
     near = materialize(near, "near")
     strays = near.where("root is null").select("band", F.col("node").alias("name"))
-    split = materialize(strays.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups")), "strays")
-    homes = strays.join(split, "band").select("band", "groups", "name", F.lit(True).alias("first"), F.pmod(F.xxhash64("name"), F.col("groups")).cast("int").alias("group"))
-    others = members.select("band", "name").join(split, "band").select("band", "groups", "name", F.lit(False).alias("first"), F.explode(groups).alias("group"))
-    far = _in_groups(homes.unionAll(others), said).mapInArrow(_across(similarity), ddl)
+    deal = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    split = strays.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("held"))
+    split = materialize(split.join(met, "band").select("band", "held", F.col("groups").alias("passing")), "strays")
+    # each part of the strays meets each part of the band
+    homes = strays.join(split, "band").withColumn("part", every(F.col("passing"))).select("band", "name", F.lit(True).alias("first"), (deal(F.col("held")) * F.col("passing") + F.col("part")).alias("group"))
+    others = members.select("band", "name").join(split, "band").withColumn("part", every(F.col("held"))).select("band", "name", F.lit(False).alias("first"), (F.col("part") * F.col("passing") + deal(F.col("passing"))).alias("group"))
+    far = _in_groups(homes.unionAll(others).withColumn("groups", F.lit(0)), said).mapInArrow(_across(similarity), ddl)
     found = components(near.where("root is not null").select("node", "root").unionAll(far.select("node", "root")))
     linked = least.select("name", "__least").join(found, least["name"] == found["node"], "left").select("name", "__least", F.coalesce("root", "name").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("__least").alias("component_id"))
