@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, scoring, similarity, texts
+from .plans import forms, relational, rulings, scoring, similarity, texts
 
-MODULES = (texts, relational, similarity, scoring)
+MODULES = (texts, forms, relational, rulings, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,10 @@ PROHIBITED = (
     r"(?iU)\b(?:candidate|row|group|batch|sample)\s+<NUM>\b",
 )
 MARKUP = r"https?://|www\.|```|<[^>]+>"
+LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+LIST_MARK = r"^\s*(?:\d{1,4}[).:\-]\s*|[-*•]\s*)"
+NOISY_LINE = r"(?i)^\s*(?:json|candidates?|sentences?|stavki?|output|response)\s*:?\s*$"
+SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-ZČŠŽ])"
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{1,127}$"
 FORBIDDEN_SYMBOLS = ("€", "°")
 
@@ -189,8 +193,20 @@ def clean_line(line: Column) -> Column:
 
 
 def clean_generated_line(line: Column) -> Column:
-    """A list mark off the start, then as clean_line."""
-    return clean_line(F.regexp_replace(F.trim(line), r"^(?:[-*•]|\d{1,4}[.)])\s*", ""))
+    """A list mark off the start, quotes, backticks and blanks off the ends, white space squeezed."""
+    return squeezed(F.regexp_replace(F.regexp_replace(F.trim(line), LIST_MARK, ""), "^[ \t\"'“”„`]+|[ \t\"'“”„`]+$", ""))
+
+
+def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and sentence: the sentences of the lines outside fences that are no headings, no markup and no short lead-ins that end in a colon."""
+    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), LINE_ENDS)).alias("pos", "raw"))
+    lines = lines.select(key, "pos", F.trim(F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).alias("s"))
+    fences = F.sum(F.col("s").startswith("```").cast("int")).over(Window.partitionBy(key).orderBy("pos"))
+    lead_in = F.col("s").endswith(":") & (F.size(tokens(F.col("s"))) <= 5)
+    usable = ~F.col("s").startswith("```") & (F.col("fences") % 2 == 0) & (F.col("s") != "") & ~F.col("s").rlike(NOISY_LINE) & ~lead_in
+    kept = lines.withColumn("fences", fences).where(usable).select(key, clean_generated_line(F.col("s")).alias("line")).where("line <> ''").where(~F.col("line").rlike(r"^[{}\[\]]"))
+    parts = kept.select(key, F.explode(F.split("line", SENTENCE_GAP)).alias("sentence"))
+    return parts.select(key, F.trim("sentence").alias("sentence")).where("sentence <> ''")
 
 
 def spoken_key(text: Column, digits: Column) -> Column:
@@ -201,6 +217,7 @@ def spoken_key(text: Column, digits: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w)), " ")
 
 
+# The mark of sentinel texts, what logs print, and what isn't a sentence in a model's output.
 SENTINEL = "__sample__:"
 
 

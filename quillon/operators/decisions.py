@@ -5,9 +5,10 @@ model. A rule is a list of conditions over facts with their labels; the first th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Split names, tolerances, labels and reasons of the decision contract.
 REAL = ("fleurs_v2", "artur_j")
 #: Rates may be worse than a comparator's by so much: tolerance and loose tolerance of wer and cer.
 TOLERANCE = {"wer": 0.50, "cer": 0.25}
@@ -255,6 +256,45 @@ def envelope(*challengers: DataFrame) -> DataFrame:
     return every.groupBy("split").agg(F.min("wer").alias("wer"), F.min("cer").alias("cer"), F.min("empty").alias("empty"))
 
 
+#: The earlier best rate of the divergence rule.
+EARLIER_BEST = 43.443
+
+
+def divergence_stop(curve: DataFrame, by: str) -> DataFrame:
+    """by and the reason why a curve stops or goes on. curve: by, round (from 0, the base), wer, empty, anchor, scale (probe losses).
+
+    Stops if the latest round has empties, if two rounds in turn are 5 points over the earlier best, or if both probes got
+    better than at the base while the rate is 8 points over the curve's best; else the plain rule over the later rounds
+    decides: empties, two rounds 5 points over the best, three rounds without a new best."""
+    w = Window.partitionBy(by).orderBy("round")
+    later = F.col("round") > 0
+    before = F.min(F.when(later, F.col("wer"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = curve.withColumn("new", later & F.coalesce(F.col("wer") < before, F.lit(True))).withColumn("lag", F.lag("wer").over(w))
+    last = F.max_by(F.struct("round", "wer", "empty", "anchor", "scale", "lag"), "round")
+    base = F.max(F.when(~later, F.struct("anchor", "scale")))
+    got = rows.groupBy(by).agg(
+        last.alias("z"),
+        base.alias("b"),
+        F.min("wer").alias("least"),
+        F.min(F.when(later, F.col("wer"))).alias("best"),
+        F.max(F.when(F.col("new"), F.col("round"))).alias("at"),
+        F.coalesce(F.bool_or((F.col("round") > 1) & (F.col("empty") > 0)), F.lit(False)).alias("empties"),
+    )
+    n, wer, lag = F.col("z.round"), F.col("z.wer"), F.col("z.lag")
+    reason = (
+        F.when(n < 1, "minimum_rounds_not_reached")
+        .when((n > 1) & (F.col("z.empty") > 0), "surface08_empty_hypotheses_reappeared")
+        .when((n >= 2) & (wer > EARLIER_BEST + 5.0) & (lag > EARLIER_BEST + 5.0), "surface08_two_consecutive_rounds_worse_than_surface07_by_5")
+        .when((F.col("z.anchor") < F.col("b.anchor")) & (F.col("z.scale") < F.col("b.scale")) & (wer > F.col("least") + 8.0), "surface08_synthetic_real_divergence_over_8")
+        .when(n < 3, "minimum_rounds_not_reached")
+        .when(F.col("empties"), "empty_hypotheses_reappeared")
+        .when((wer > F.col("best") + 5.0) & (lag > F.col("best") + 5.0), "two_consecutive_catastrophic_wer_regressions")
+        .when(n - F.col("at") >= 3, "three_rounds_without_new_raw_best")
+        .otherwise("new_best_patience_active")
+    )
+    return got.select(by, reason.alias("reason"))
+
+
 def parity_eligible(most_memory: float) -> Column:
     return (F.col("status") == "PASSED") & F.col("exact_parity") & (F.coalesce("peak_memory_mib", F.lit(0.0)) <= most_memory)
 

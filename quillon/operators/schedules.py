@@ -64,6 +64,26 @@ def rotation(records: DataFrame, key: str, profiles: list[str], epochs: int) ->
     return every.select("epoch", key, index.alias("profile_index"), F.element_at(F.array(*(F.lit(p) for p in profiles)), index + 1).alias("profile_id"))
 
 
+def group_rotation(records: DataFrame, key: str, voices: list[str], epochs: int, group: int = 20) -> DataFrame:
+    """epoch, key, voice: groups of `group` records, in the order of their hashes, take the voices in turn."""
+    placed = global_rank(records.select(key), F.sha2(F.col(key).cast("string"), 256), F.col(key))
+    every = placed.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    turn = F.pmod(F.floor(F.col("pos") / group) + F.col("epoch") - 1, F.lit(len(voices))).cast("int")
+    return every.select("epoch", key, F.element_at(F.array(*(F.lit(v) for v in voices)), turn + 1).alias("voice"))
+
+
+def exhausted(attempts: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """exceeded: the budgets that are used up. attempts: cell, shard, requested; limits: total_attempts, requested_rows, cell and shard (each)."""
+    all_ = attempts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("requested"), F.lit(0)).alias("rows"))
+    whole = [("total_attempts", "n"), ("requested_rows", "rows")]
+    out = all_.select(F.explode(F.array_compact(F.array(*(F.when(F.col(c) >= limits[name], F.lit(name)) for name, c in whole if name in limits), F.lit(None).cast("string")))).alias("exceeded"))
+    for by in ("cell", "shard"):
+        if by in limits:
+            over = attempts.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limits[by])
+            out = out.unionAll(over.select(F.concat(F.lit(f"{by}:"), F.col(by).cast("string")).alias("exceeded")))
+    return out
+
+
 def balance(schedule: DataFrame, *by: str) -> DataFrame:
     """Rows by group, with the spread between the fullest and the emptiest group beside them."""
     counts = schedule.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))

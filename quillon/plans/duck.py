@@ -43,3 +43,27 @@ def grams(words: str, n: int, separator: str = " ") -> str:
 
 def shingles(words: str, n: int) -> str:
     return f"CASE WHEN len({words}) >= {n} THEN list_distinct({grams(words, n)}) WHEN len({words}) > 0 THEN [array_to_string({words}, ' ')] ELSE [] END"
+
+
+def edits(pairs: str, name: str = "edits") -> str:
+    """Common table expressions for pairs(id, r, h), r and h lists of symbols: `name`(id, n, m, s, d, i) with substitutions, deletions and insertions.
+
+    The textbook table row by row: a cell holds cost times unit plus insertions, insertions along the row by a running minimum."""
+    p = f"{name}_p"
+    return f"""{p} AS ({pairs}), {name}_n AS (SELECT id, len(r) AS n, len(h) AS m, len(r) + len(h) + 1 AS u FROM {p}),
+{name}_r AS (SELECT id, unnest(r) AS w, generate_subscripts(r, 1) AS i FROM {p}), {name}_h AS (SELECT id, unnest(h) AS w, generate_subscripts(h, 1) AS j FROM {p}),
+{name}_t AS (SELECT id, 0::BIGINT AS i, j, (j * (u + 1))::BIGINT AS c FROM (SELECT id, u, unnest(range(0, m + 1)) AS j FROM {name}_n)
+  UNION ALL SELECT id, i, j, (min(b - j * (u + 1)) OVER (PARTITION BY id ORDER BY j) + j * (u + 1))::BIGINT FROM (
+    SELECT t.id, t.i + 1 AS i, t.j, n.u, least(t.c + n.u, coalesce(lag(t.c) OVER (PARTITION BY t.id ORDER BY t.j) + CASE WHEN h.w = r.w THEN 0 ELSE n.u END, t.c + n.u)) AS b
+    FROM {name}_t t JOIN {name}_n n ON n.id = t.id AND t.i < n.n JOIN {name}_r r ON r.id = t.id AND r.i = t.i + 1 LEFT JOIN {name}_h h ON h.id = t.id AND h.j = t.j)),
+{name} AS (SELECT id, n, m, c // u - c % u - (c % u + n - m) AS s, c % u + n - m AS d, c % u AS i FROM (SELECT t.id, n.n, n.m, n.u, t.c FROM {name}_t t JOIN {name}_n n ON n.id = t.id AND t.i = n.n AND t.j = n.m))"""
+
+
+def percent(distance: str, n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN {distance} / {n} * 100.0 WHEN {distance} = 0 THEN 0.0 ELSE 100.0 END"
+
+
+def one_byte(x: str) -> str:
+    """The accented letters of the driver's texts as single bytes, as levenshtein() counts bytes here."""
+    letters = "äÄöÖüÜßéÉèÈêÊçÇíÍóÓñÑ"
+    return f"translate({x}, '{letters}', {' || '.join(f'chr({14 + i})' for i in range(len(letters)))})"

@@ -1,6 +1,6 @@
 """Scoring and sequential-selection queries: error rates of turn pairs, edit counts, recognition changes, greedy choices.
 
-DuckDB counts bytes in its edit distance and has no sequential choice, so these are tested against brute force."""
+The DuckDB statements fill the textbook's table of edits row by row; sequential choices are tested against brute force."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
+from ..functions import text as t
 from ..operators import selection
 from ..sources.tables import pairs, table
+from . import duck
 
 
 def wer_rows(spark, sf_dir):
@@ -98,5 +100,55 @@ def diversity_greedy(spark, sf_dir):
     return selection.in_order(rows.drop("features"), kernel, "place long, id long")
 
 
-_ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
-QUERIES = {f.__name__: (f, None) for f in _ALL}
+def scored_parts(spark, sf_dir):
+    """Names against types of parts: raw and normalised rates, and the four counts of edits."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("r"), F.col("p_type").alias("h"), F.split("p_type", " ").alias("tags"))
+    for side in ("r", "h"):
+        p = p.withColumn(f"{side}n", t.surface_form(F.col(side)))
+    for kind, edits in (("words", m.word_edits), ("characters", m.character_edits)):
+        p = p.withColumn(f"raw_{kind}", edits(F.col("r"), F.col("h"))).withColumn(f"normalised_{kind}", edits(F.col("rn"), F.col("hn")))
+    sizes = {"raw_words": F.size(m.words_of(F.col("r"))), "normalised_words": F.size(m.words_of(F.col("rn"))), "raw_characters": F.length("r"), "normalised_characters": F.length("rn")}
+    total = lambda k: F.col(k)["substitutions"] + F.col(k)["deletions"] + F.col(k)["insertions"]
+    return p.select("p_partkey", "tags", *sizes, *(n.cast("long").alias(f"{k}_n") for k, n in sizes.items()), *(F.round(m.percent(total(k), n), 6).alias(f"{k}_rate") for k, n in sizes.items()))
+
+
+def score_pairs(spark, sf_dir):
+    p = scored_parts(spark, sf_dir)
+    kinds = ("raw_words", "normalised_words", "raw_characters", "normalised_characters")
+    return p.select("p_partkey", *(f"{k}_rate" for k in kinds), *(F.col(k)[e].cast("long").alias(f"{k}_{e[0]}") for k in kinds for e in ("substitutions", "deletions", "insertions")))
+
+
+def score_by_tag(spark, sf_dir):
+    """Micro and macro rates, raw and normalised, by each of a row's tags; a row counts under all of them."""
+    p = scored_parts(spark, sf_dir).select("*", F.explode("tags").alias("tag"))
+    total = lambda k: F.sum(F.col(k)["substitutions"] + F.col(k)["deletions"] + F.col(k)["insertions"])
+    out = p.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), *(m.percent(total(k), F.sum(f"{k}_n")).alias(f"{k}_micro") for k in ("raw_words", "normalised_words", "normalised_characters")), *(F.avg(f"{k}_rate").alias(f"{k}_mean") for k in ("raw_words", "normalised_words")))
+    return out.select("tag", "n", *(F.round(c, 4).alias(c) for c in out.columns[2:]))
+
+
+_PAIR = "SELECT conv_id, turn, role, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference, text AS hypothesis FROM conversations"
+_WORDS = lambda x: f"list_filter(string_split_regex(coalesce({x}, ''), '{duck.S}+'), lambda x: x <> '')"
+_WORD_PAIRS = "SELECT id, " + _WORDS("reference") + " AS r, " + _WORDS("hypothesis") + " AS h FROM q"
+_EDITS = f"WITH RECURSIVE q AS (SELECT *, conv_id * 1000000 + turn AS id FROM ({_PAIR}) WHERE reference IS NOT NULL), {duck.edits(_WORD_PAIRS)}"
+_SCORED = f"{_EDITS}, w AS (SELECT q.conv_id, q.turn, q.role, s + d + i AS distance, n AS words, {duck.percent('(s + d + i)', 'n')} AS wer FROM q JOIN edits USING (id))"
+_DIGITS = "printf('%.3f', {x})::DOUBLE"
+_SUMMARY = "count(*) AS n, sum(distance)::BIGINT AS edits, sum(words)::BIGINT AS words, " + ", ".join(_DIGITS.replace("{x}", x) + f" AS {k}_wer" for k, x in (("corpus", duck.percent("sum(distance)", "sum(words)")), ("mean", "avg(wer)"), ("median", "median(wer)"))) + " FROM w"
+_CHANGE_PAIRS = "SELECT id * 2 AS id, " + _WORDS("reference") + " AS r, " + _WORDS("base") + " AS h FROM q UNION ALL SELECT id * 2 + 1, " + _WORDS("reference") + ", " + _WORDS("adapted") + " FROM q"
+_PART_PAIRS = " UNION ALL ".join(f"SELECT p_partkey * 4 + {k}, {r}, {h} FROM q" if k else f"SELECT p_partkey * 4 AS id, {r} AS r, {h} AS h FROM q" for k, (r, h) in enumerate([(_WORDS("r"), _WORDS("h")), (_WORDS("rn"), _WORDS("hn")), ("string_split(r, '')", "string_split(h, '')"), ("string_split(rn, '')", "string_split(hn, '')")]))
+_KINDS = ("raw_words", "normalised_words", "raw_characters", "normalised_characters")
+_PARTS = f"WITH RECURSIVE q AS (SELECT p_partkey, p_type, p_name AS r, p_type AS h, {duck.surface('p_name')} AS rn, {duck.surface('p_type')} AS hn FROM part), {duck.edits(_PART_PAIRS)}, x AS (SELECT id // 4 AS p_partkey, id % 4 AS k, n, s, d, i, s + d + i AS e, round({duck.percent('(s + d + i)', 'n')}, 6) AS rate FROM edits)"
+SQL = {
+    "wer_rows": f"{_SCORED} SELECT conv_id, turn, role, distance, words, wer FROM w",
+    "cer_rows": f"SELECT conv_id, turn, distance, characters, {duck.percent('distance', 'characters')} AS cer FROM (SELECT conv_id, turn, levenshtein({duck.one_byte('reference')}, {duck.one_byte('hypothesis')}) AS distance, length(reference) AS characters FROM ({_PAIR}) WHERE reference IS NOT NULL)",
+    "edit_counts_rows": f"{_EDITS} SELECT q.conv_id, q.turn, s AS substitutions, d AS deletions, i AS insertions FROM q JOIN edits USING (id)",
+    "wer_corpus_summary": f"{_SCORED} SELECT {_SUMMARY}",
+    "wer_by_group": f"{_SCORED} SELECT role, {_SUMMARY} GROUP BY role",
+    "wer_by_bucket": f"{_SCORED} SELECT CASE WHEN wer = 0 THEN '0' WHEN wer <= 25 THEN '0-25' WHEN wer <= 50 THEN '25-50' WHEN wer <= 75 THEN '50-75' WHEN wer <= 100 THEN '75-100' ELSE 'over-100' END AS bucket, count(*) AS n FROM w GROUP BY 1",
+    "recognition_change_counts": f"""WITH RECURSIVE q AS (SELECT * FROM (SELECT conv_id * 1000000 + turn AS id, text AS reference, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS base, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS adapted FROM conversations) WHERE base IS NOT NULL AND adapted IS NOT NULL), {duck.edits(_CHANGE_PAIRS)},
+w AS (SELECT id // 2 AS id, max({duck.percent('(s + d + i)', 'n')}) FILTER (id % 2 = 0) AS b, max({duck.percent('(s + d + i)', 'n')}) FILTER (id % 2 = 1) AS a FROM edits GROUP BY 1)
+SELECT CASE WHEN trim(adapted) = '' THEN 'EMPTY_HYPOTHESIS' WHEN adapted = reference THEN 'EXACT_MATCH' WHEN a < b THEN 'IMPROVED' WHEN a > b THEN 'REGRESSED' ELSE 'UNCHANGED' END AS change, count(*) AS n FROM q JOIN w USING (id) GROUP BY 1""",
+    "score_pairs": f"{_PARTS} SELECT p_partkey, " + ", ".join(f"max(rate) FILTER (k = {k}) AS {x}_rate" for k, x in enumerate(_KINDS)) + ", " + ", ".join(f"max({c}) FILTER (k = {k}) AS {x}_{c}" for k, x in enumerate(_KINDS) for c in "sdi") + " FROM x GROUP BY p_partkey",
+    "score_by_tag": f"{_PARTS}, g AS (SELECT x.*, unnest(string_split(q.p_type, ' ')) AS tag FROM x JOIN q USING (p_partkey)) SELECT tag, count(*) FILTER (k = 0) AS n, " + ", ".join(f"round({duck.percent(f'sum(e) FILTER (k = {k})', f'sum(n) FILTER (k = {k})')}, 4) AS {_KINDS[k]}_micro" for k in (0, 1, 3)) + ", " + ", ".join(f"round(avg(rate) FILTER (k = {k}), 4) AS {_KINDS[k]}_mean" for k in (0, 1)) + " FROM g GROUP BY tag",
+}
+_ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, score_pairs, score_by_tag, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
+QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _ALL}
