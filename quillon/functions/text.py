@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 # Patterns of the text contract. \b, \w and \s are Unicode-aware by (?U).
 APOSTROPHES = "’‘`´"
+#: What Python's \w holds: letters, all numbers and the underscore; no marks, no other connectors.
+WORD = r"\p{L}\p{N}_"
 NUMBER_MASKS = (
     (r"(?U)\b\d{1,2}\.\s*\d{1,2}\.\s*\d{2,4}\b", "<DATE>"),
     (r"(?U)\b\d{1,2}[:.]\d{2}\b", "<TIME>"),
@@ -77,7 +79,7 @@ def squeezed(text: Column) -> Column:
 def surface_form(text: Column) -> Column:
     """Apostrophes and hyphens folded, lower case, punctuation to spaces. Give it composed text."""
     plain = F.translate(text, APOSTROPHES + "-", "'" * len(APOSTROPHES) + " ")
-    return squeezed(F.regexp_replace(F.lower(plain), r"(?U)[^\w\s]", " "))
+    return squeezed(F.regexp_replace(F.lower(plain), rf"(?U)[^{WORD}\s]", " "))
 
 
 def masked(surface: Column) -> Column:
@@ -131,6 +133,17 @@ def token_shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(n_grams(words, n))).otherwise(short)
 
 
+def hashed_shingles(words: Column, n: int) -> Column:
+    """token_shingles by 64-bit hashes of the word runs, with repeats; made without joining words. n is 5 at most."""
+    size = F.size(words) - (n - 1)
+    shifted = F.arrays_zip(*(F.slice(words, i + 1, size) for i in range(n)))
+    runs = F.transform(shifted, lambda x: F.xxhash64(*(x.getField(str(i)) for i in range(n))))
+    short = F.array().cast("array<bigint>")
+    for k in range(1, n):
+        short = F.when(F.size(words) == k, F.array(F.xxhash64(*(words[i] for i in range(k))))).otherwise(short)
+    return F.when(F.size(words) >= n, runs).otherwise(short)
+
+
 def character_shingles(text: Column, n: int = 5) -> Column:
     """Distinct runs of n characters of the text without spaces."""
     compact = F.replace(text, F.lit(" "), F.lit(""))
@@ -155,7 +168,7 @@ def last_words(text: Column, n: int = 3) -> Column:
 
 def token_set(text: Column) -> Column:
     """Distinct case-folded words, split at anything that isn't a word character."""
-    return F.array_distinct(F.filter(F.split(folded(text), r"(?U)\W+"), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.split(folded(text), rf"[^{WORD}]+"), lambda x: x != ""))
 
 
 def metadata_leak(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 WORDS = "'candidate','row','group','batch','sample','station','skupina','vrstica','kandidat','vzorec'"
 #: White space as the JVM's Unicode-aware \\s has it.
 S = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-W = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+W = r"\p{L}\p{N}_"
 
 
 def squeeze(x: str) -> str:

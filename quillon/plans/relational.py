@@ -5,18 +5,31 @@ text goes to Catalyst as it is; the DuckDB text is the oracle."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as t
+from ..sources.tables import table
 from . import duck
 
 
-def _spark(sf_dir: str) -> SimpleNamespace:
-    surface = "trim(regexp_replace(regexp_replace(lower(translate({x}, '’‘`´-', \"'''' \")), '(?U)[^\\\\w\\\\s]', ' '), '(?U)\\\\s+', ' '))"
+def _composed(spark: SparkSession, sf_dir: str) -> str:
+    """A view of the documents with texts in NFC."""
+    d = table(spark, sf_dir, "documents")
+    name = f"composed_{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    d.withColumn("text", t.composed(F.col("text"))).createOrReplaceTempView(name)
+    return name
+
+
+def _spark(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
+    surface = "trim(regexp_replace(regexp_replace(lower(translate({x}, '’‘`´-', \"'''' \")), '(?U)[^\\\\p{L}\\\\p{N}_\\\\s]', ' '), '(?U)\\\\s+', ' '))"
     return SimpleNamespace(
         spark=True,
+        composed=lambda: _composed(spark, sf_dir),
         t=lambda name: f"parquet.`{sf_dir}/{name}.parquet`",
         sha=lambda x: f"sha2({x}, 256)",
         hex=lambda x, n: f"cast(conv(substr(sha2({x}, 256), 1, {n}), 16, 10) AS bigint)",
@@ -41,6 +54,7 @@ def _spark(sf_dir: str) -> SimpleNamespace:
 
 DUCK = SimpleNamespace(
     spark=False,
+    composed=lambda: "(SELECT * REPLACE (nfc_normalize(text) AS text) FROM documents)",
     t=lambda name: name,
     sha=lambda x: f"sha256({x})",
     hex=lambda x, n: f"(('0x' || substr(sha256({x}), 1, {n}))::bigint)",
@@ -76,7 +90,7 @@ ROLE = duck.role()
 
 def _docs(d, text: str = "text") -> str:
     """Documents with role, surface form and its hash."""
-    return f"docs AS (SELECT doc_id, lang, source, n_chars, {ROLE} AS role, {d.surface(f'coalesce({text}, {chr(39) * 2})')} AS s FROM {d.t('documents')}), fp AS (SELECT *, {d.sha('s')} AS h FROM docs)"
+    return f"docs AS (SELECT doc_id, lang, source, n_chars, {ROLE} AS role, {d.surface(f'coalesce({text}, {chr(39) * 2})')} AS s FROM {d.composed()}), fp AS (SELECT *, {d.sha('s')} AS h FROM docs)"
 
 
 # ---- fingerprints and exact duplicates
@@ -684,7 +698,7 @@ def epoch_coverage(d):
 
 
 def _query(make: Callable[[SimpleNamespace], str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: spark.sql(make(_spark(sf_dir)))
+    return lambda spark, sf_dir: spark.sql(make(_spark(spark, sf_dir)))
 
 
 QUERIES = {name: (_query(make), make(DUCK)) for name, make in STATEMENTS.items()}

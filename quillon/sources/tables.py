@@ -38,9 +38,11 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors, from spark.checkpoint.dir; an own one where that is unset."""
+    """The folder shared by all executors, from spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -129,3 +129,20 @@ def test_seeds(spark):
 def test_no_carrier_leaves_the_words(spark):
     none = F.array().cast("array<string>")
     assert one(spark, t.strip_carrier(F.split("x", " "), none, none), x="a b") == "a b"
+
+
+def test_surface_form_has_the_word_class_of_python(spark):
+    """Marks and connectors are no word characters, all numbers are."""
+    import re
+    import unicodedata
+
+    texts = ["a̱b x² ½ p‿q", "naïve—Ⅷ one_two", "é – don’t", "٣ ১ x‍y", "日本 が", "a-b  c", "ǅ ß İ"]
+    want = []
+    for x in texts:
+        x = unicodedata.normalize("NFC", x)
+        for c in "’‘`´":
+            x = x.replace(c, "'")
+        want.append(re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", x.replace("-", " ").lower())).strip())
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = [r["s"] for r in df.select("i", t.surface_form(t.composed(F.col("x"))).alias("s")).orderBy("i").collect()]
+    assert got == want
