@@ -394,7 +394,8 @@ SELECT p_brand, count(*) AS batches, sum(longest * n) AS padded, sum(total) AS a
 
 @statement
 def batch_order(d):
-    return f"WITH b AS (SELECT p_brand, {d.div('row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1', '8')} AS batch FROM {d.t('part')}), u AS (SELECT DISTINCT p_brand, batch FROM b) SELECT p_brand, batch, row_number() OVER (PARTITION BY p_brand ORDER BY {d.sha(f'concat({chr(39)}1234:1:{chr(39)}, {d.text(chr(98) + chr(97) + chr(116) + chr(99) + chr(104))})')}) AS place FROM u"
+    key = d.text("batch")
+    return f"WITH b AS (SELECT p_brand, {d.div('row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1', '8')} AS batch FROM {d.t('part')}), u AS (SELECT DISTINCT p_brand, batch FROM b) SELECT p_brand, batch, row_number() OVER (PARTITION BY p_brand ORDER BY {d.sha(f'concat({chr(39)}1234:1:{chr(39)}, {key})')}) AS place FROM u"
 
 
 @statement
@@ -463,7 +464,8 @@ def topk_hard(d):
 @statement
 def topk_seeded_controls(d):
     anti = "LEFT ANTI JOIN" if d.spark else "ANTI JOIN"
-    return f"SELECT c_custkey FROM {d.t('customer')} {anti} (SELECT o_custkey FROM {d.t('orders')} WHERE o_totalprice > 400000) o ON c_custkey = o_custkey ORDER BY {d.sha(f'concat({chr(39)}17:{chr(39)}, {d.text(chr(99) + chr(95) + chr(99) + chr(117) + chr(115) + chr(116) + chr(107) + chr(101) + chr(121))})')} LIMIT 50"
+    key = d.text("c_custkey")
+    return f"SELECT c_custkey FROM {d.t('customer')} {anti} (SELECT o_custkey FROM {d.t('orders')} WHERE o_totalprice > 400000) o ON c_custkey = o_custkey ORDER BY {d.sha(f'concat({chr(39)}17:{chr(39)}, {key})')} LIMIT 50"
 
 
 @statement
@@ -534,7 +536,8 @@ SELECT lang, source, deficit, least(5, greatest(1, cast(ceil(deficit / 40.0) AS
 
 @statement
 def task_grid(d):
-    return f"WITH c AS (SELECT DISTINCT lang FROM {d.t('documents')}), s AS (SELECT {d.series(0, 8)} AS shard) SELECT lang AS cell_id, shard, {d.hex(f'concat({chr(39)}ns:{chr(39)}, lang, {chr(39)}:{chr(39)}, {d.text(chr(115) + chr(104) + chr(97) + chr(114) + chr(100))})', 12)} % 2147483647 AS seed, (row_number() OVER (ORDER BY lang, shard) - 1) % 2 AS worker FROM c CROSS JOIN s"
+    key = d.text("shard")
+    return f"WITH c AS (SELECT DISTINCT lang FROM {d.t('documents')}), s AS (SELECT {d.series(0, 8)} AS shard) SELECT lang AS cell_id, shard, {d.hex(f'concat({chr(39)}ns:{chr(39)}, lang, {chr(39)}:{chr(39)}, {key})', 12)} % 2147483647 AS seed, (row_number() OVER (ORDER BY lang, shard) - 1) % 2 AS worker FROM c CROSS JOIN s"
 
 
 # ---- decisions
