@@ -112,10 +112,10 @@ SELECT p_partkey, reason, i AS rank, reason || '-' || lpad(i::VARCHAR, 3, '0') A
 
 
 def holdout_ledger(spark, sf_dir):
-    """Every document's decision for a holdout: duplicate form, form of a protected item, form with figures masked, then 20 a cell by hash."""
+    """Every document's decision for a holdout: duplicate form, opening of a protected item, opening with figures masked, then 20 a cell by hash."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "lang", "source").alias("cell"), t.surface_form(t.composed(F.coalesce("text", F.lit("")))).alias("form"))
     items = table(spark, sf_dir, "benchmark").select(t.surface_form(t.composed(F.coalesce("text", F.lit("")))).alias("form"))
-    # the documents' first five words stand for whole protected texts, which the driver's documents only hold in part
+    # no document here is a whole protected text, so the first word, and the masked form's first four characters, stand for whole forms
     opening = lambda x: F.array_join(F.slice(t.tokens(x), 1, 1), " ")
     surface = items.select(opening(F.col("form")).alias("key")).distinct().withColumn("surface", F.lit(True))
     number = items.select(F.substring(t.masked(F.col("form")), 1, 4).alias("key4")).distinct().withColumn("number", F.lit(True))
