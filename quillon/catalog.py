@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import composites, forms, relational, rulings, scoring, similarity, texts
+from .plans import composites, forms, proofs, relational, rulings, scoring, similarity, texts
 
-MODULES = (texts, forms, composites, relational, rulings, similarity, scoring)
+MODULES = (texts, forms, composites, proofs, relational, rulings, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -149,6 +149,10 @@ w AS (SELECT id // 2 AS id, max({duck.percent('(s + d + i)', 'n')}) FILTER (id %
 SELECT CASE WHEN trim(adapted) = '' THEN 'EMPTY_HYPOTHESIS' WHEN adapted = reference THEN 'EXACT_MATCH' WHEN a < b THEN 'IMPROVED' WHEN a > b THEN 'REGRESSED' ELSE 'UNCHANGED' END AS change, count(*) AS n FROM q JOIN w USING (id) GROUP BY 1""",
     "score_pairs": f"{_PARTS} SELECT p_partkey, " + ", ".join(f"max(rate) FILTER (k = {k}) AS {x}_rate" for k, x in enumerate(_KINDS)) + ", " + ", ".join(f"max({c}) FILTER (k = {k}) AS {x}_{c}" for k, x in enumerate(_KINDS) for c in "sdi") + " FROM x GROUP BY p_partkey",
     "score_by_tag": f"{_PARTS}, g AS (SELECT x.*, unnest(string_split(q.p_type, ' ')) AS tag FROM x JOIN q USING (p_partkey)) SELECT tag, count(*) FILTER (k = 0) AS n, " + ", ".join(f"round({duck.percent(f'sum(e) FILTER (k = {k})', f'sum(n) FILTER (k = {k})')}, 4) AS {_KINDS[k]}_micro" for k in (0, 1, 3)) + ", " + ", ".join(f"round(avg(rate) FILTER (k = {k}), 4) AS {_KINDS[k]}_mean" for k in (0, 1)) + " FROM g GROUP BY tag",
+    # a part's metal is the last word of its type and no other word is one, so the quotas don't meet
+    "quota_selection": """WITH p AS (SELECT p_partkey AS id, p_retailprice AS price, string_split(p_type, ' ')[-1] AS metal FROM part),
+q AS (SELECT id, price, CASE WHEN metal IN ('BRASS', 'COPPER', 'STEEL') AND row_number() OVER (PARTITION BY metal ORDER BY price DESC, id) <= 5 THEN metal END AS quota FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY quota NULLS LAST, price DESC, id) - 1 AS place FROM q) SELECT place, id FROM r WHERE place < 60""",
 }
 _ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, score_pairs, score_by_tag, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _ALL}
