@@ -19,6 +19,8 @@ import regex
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces of text whose ids are kept in each worker.
 CACHE = 300_000
+#: Longer texts go to the own encoder, as the compiled one fails on runs of a million white-space characters.
+COMPILED = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,6 +34,8 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError("the vocabulary must be byte-level, without a normaliser and without a prefixed space")
         of = byte_letters()
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -205,7 +209,10 @@ def fast_bpe(path: str):
 
 
 def fast_ids(path: str, text: str) -> np.ndarray:
+    """Ids of a whole text, of any length and with any runs."""
     enc, own = fast_bpe(path)
+    if len(text) > COMPILED:
+        return own.encode(text).astype(np.uint32)
     if own.special_split is None or not any(s in text for s in own.special):
         return np.array(enc.encode_ordinary(text), dtype=np.uint32)
     parts: list[int] = []

@@ -16,6 +16,8 @@ COLUMNS = {
     "op8_simhash": ["doc_id", "fingerprint", "component_id"],
     "op9_tiff": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
     "op10_shard": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op11_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op13_tokens": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
 
 
