@@ -17,6 +17,7 @@ COLUMNS = {
     "op9_tiff": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
     "op10_shard": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op11_runs": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
+    "op12_search": ["item_id", "rank", "doc_id", "score"],
     "op13_tokens": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
 }
 
@@ -24,7 +25,7 @@ COLUMNS = {
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = queries.queries()[name](spark, DIR)
     want = con.execute(queries.oracle_sql()[name])
