@@ -6,7 +6,7 @@ declared  the language the markup (or the record) declares: right with probabili
 suffix    the address suffix, by the languages seen with it
 host      the languages seen at the host, shrunk to those of its suffix, shrunk to those of the whole table (strengths HOST, SUFFIX)
 
-Likelihoods are fitted on at most SAMPLE documents of each language, chosen by the hash of their ids (of rows that share an id and
+Likelihoods are fitted on at most SAMPLE documents of each of the LANGUAGES most frequent languages, chosen by the hash of their ids (of rows that share an id and
 a language the least text); the counts of hosts and suffixes
 are grouped aggregates over all rows, joined by broadcast only if a check finds few rows. The host's prior leaves the
 row's own declaration out, so that no evidence counts twice.
@@ -19,7 +19,7 @@ judged by the other evidence alone. A text in no known language keeps the neares
 
 Null or empty text gives language "und", which is rejected; so is a best posterior under ACCEPT. Null host, suffix or
 declaration is no evidence. Repeated rows get equal results. An empty table, or no labelled text, gives "und"
-everywhere it gives rows. All columns are kept; of clashing names the operator's own stay."""
+everywhere it gives rows. Texts of any length are counted whole. All columns are kept; of clashing names the operator's own stay."""
 
 from __future__ import annotations
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import carried, join_checked, lower_ascii, materialize, small_batches, table, texts_of, with_row
 
 SAMPLE = 6_000
+#: A model has the languages that are declared most often, so many at most (ties by name); a declaration of another is no evidence.
+LANGUAGES = 256
 BUCKETS = 1 << 15
 TRIGRAMS = 200
 RELIABLE = 0.9
@@ -59,11 +61,11 @@ class Model:
     slack: np.ndarray | None = None  # by language: how far TRIGRAMS trigrams may lie under it; without these every text is in some language
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model | None:
     spark = docs.sparkSession
     small_batches(spark)
     labelled = docs.where(F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(key).isNotNull())
-    met = {r["l"]: r["count"] for r in labelled.groupBy(F.col(lang).alias("l")).count().collect()}
+    met = {r["l"]: r["count"] for r in labelled.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most).collect()}
     if not met:
         return None
     languages = sorted(met)

@@ -11,12 +11,13 @@ tests (0.9 at least is asked for).
 Equal vectors are one row with a count from the start, so copies are never expanded into pairs; a large group of
 different vectors that are all near each other does cost its pairs, which n_links asks for.
 
-Vectors of different lengths never link; each length is searched on its own, with a rotation of its own. Of a length with
-at most SMALL different vectors, too few to learn from, all pairs are compared.
+Vectors of different lengths never link; each length has a rotation of its own, however few its vectors, and all lengths
+are learned, coded and searched in the same pass. Coding takes BLOCK vectors of a length at a time.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing: n_links 0, component_id
 their own id. Null and repeated ids are rows like others; a component's id is the smallest that isn't null, or null where
-there is none; a row with a null id is kept only in such a component. An empty table gives an empty table. Other columns are left out."""
+there is none; a row with a null id is kept only in such a component. An empty table gives an empty table. Other columns are left out; a key called like
+a column of the result is refused."""
 
 from __future__ import annotations
 
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import join_checked, materialize, small_batches, table
 from .components import components
 
 SAMPLE = 4_096
@@ -37,7 +39,8 @@ TABLES = 4
 NEAR = 20
 THRESHOLD = 0.95
 ROUNDS = 40
-SMALL = 256
+#: Vectors of one length that are coded together.
+BLOCK = 20_000
 
 
 def learn(x: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -72,33 +75,53 @@ def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), dims)
 
 
-def links(distinct: DataFrame, dims: int, threshold: float = THRESHOLD, tables: int = TABLES, near: int = NEAR, sample: int = SAMPLE) -> DataFrame:
-    """a, b (a < b): pairs of nodes with cosine >= threshold. distinct: node (long), vector (array<double>), one row per vector."""
-    part = BITS // tables
-    chosen = distinct.orderBy(F.xxhash64("node"), "node").limit(sample).select("vector").toPandas()["vector"]
-    if len(chosen) < 2:
-        return distinct.sparkSession.createDataFrame([], "a long, b long")
-    x = np.stack([np.array(v, dtype=np.float64) for v in chosen])
-    mean, projection = learn(x / np.linalg.norm(x, axis=1, keepdims=True))
+def models(distinct: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """d, mean, projection (row after row) for each vector length d, learned on at most `sample` of its vectors, chosen by hash."""
+    place = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64("node"), "node"))
+    chosen = distinct.withColumn("place", place).where(F.col("place") <= sample).select("d", "vector")
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = _vectors(batch.column("vector"), dims)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(codes(v / np.linalg.norm(v, axis=1, keepdims=True), mean, projection))], ["node", "code"])
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.array(v, dtype=np.float64) for v in rows["vector"]])
+        mean, projection = learn(x / np.linalg.norm(x, axis=1, keepdims=True))
+        return pd.DataFrame({"d": [x.shape[1]], "mean": [mean.tolist()], "projection": [projection.ravel().tolist()]})
+
+    return chosen.groupBy("d").applyInPandas(fit, "d int, mean array<double>, projection array<double>")
+
+
+def coded(distinct: DataFrame, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+    """node, d and code. The vectors of a length are dealt to blocks, each beside its length's model."""
+    fitted = materialize(models(distinct, sample), "models")
+    blocks = materialize(distinct.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "blocks")
+    dealt = join_checked(distinct, blocks, "d", "inner").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    told = fitted.join(blocks, "d").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def code(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"node": [], "d": [], "code": []})
+        d = int(model["d"][0])
+        mean, projection = np.array(model["mean"][0]), np.array(model["projection"][0]).reshape(d, -1)
+        v = np.stack([np.array(x, dtype=np.float64) for x in rows["vector"]])
+        return pd.DataFrame({"node": rows["node"], "d": d, "code": codes(v / np.linalg.norm(v, axis=1, keepdims=True), mean, projection)})
+
+    made = dealt.select("d", "block", "node", "vector").groupBy("d", "block").cogroup(told.select("d", "block", "mean", "projection").groupBy("d", "block"))
+    return made.applyInPandas(code, "node long, d int, code long")
 
-    coded = materialize(distinct.mapInArrow(code, "node long, code long"), "codes")
+
+def links(distinct: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, near: int = NEAR, sample: int = SAMPLE) -> DataFrame:
+    """a, b (a < b): pairs of nodes of one vector length with cosine >= threshold. distinct: node (long), d (its length), vector (array<double>), one row per vector."""
+    part = BITS // tables
     mask = (1 << part) - 1
     cut = lambda c, t: F.shiftrightunsigned(c, part * t).bitwiseAND(F.lit(mask).cast("long"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i).cast("long") for i in range(part)))
-    kept = coded.select("node", "code", F.posexplode(F.array(*(cut(F.col("code"), t) for t in range(tables)))).alias("t", "part"))
-    asked = kept.select(F.col("node").alias("node2"), F.col("code").alias("code2"), F.col("t").alias("t2"), "part").withColumn("flip", F.explode(flips))
-    asked = asked.select("node2", "code2", "t2", F.col("part").bitwiseXOR(F.col("flip")).alias("part2"))
+    kept = materialize(coded(distinct, sample), "codes")
+    kept = kept.select("node", "d", "code", F.posexplode(F.array(*(cut(F.col("code"), t) for t in range(tables)))).alias("t", "part"))
+    asked = kept.select(F.col("node").alias("node2"), F.col("d").alias("d2"), F.col("code").alias("code2"), F.col("t").alias("t2"), "part").withColumn("flip", F.explode(flips))
+    asked = asked.select("node2", "d2", "code2", "t2", F.col("part").bitwiseXOR(F.col("flip")).alias("part2"))
     differ = F.col("code").bitwiseXOR(F.col("code2"))
     first = F.lit(tables)
     for t in reversed(range(tables)):
         first = F.when(F.bit_count(cut(differ, t)) <= 1, F.lit(t)).otherwise(first)
-    on = (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("node") < F.col("node2")) & (F.bit_count(differ) <= near) & (first == F.col("t"))
+    on = (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("d") == F.col("d2")) & (F.col("node") < F.col("node2")) & (F.bit_count(differ) <= near) & (first == F.col("t"))
     pairs = kept.join(asked, on).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
     left = distinct.select(F.col("node").alias("a"), F.col("vector").alias("va"))
@@ -106,30 +129,21 @@ def links(distinct: DataFrame, dims: int, threshold: float = THRESHOLD, tables:
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = _vectors(batch.column("va"), dims), _vectors(batch.column("vb"), dims)
+            lengths = pc.list_value_length(batch.column("va"))
+            for d in pc.unique(lengths).to_pylist():
+                some = batch.filter(pc.equal(lengths, d))
+                a, b = _vectors(some.column("va"), d), _vectors(some.column("vb"), d)
                 cosine = np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
                 ok = pa.array(cosine >= threshold)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([some.column("a").filter(ok), some.column("b").filter(ok)], ["a", "b"])
 
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long"), "links")
 
 
-def all_links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b (a < b): pairs of nodes of one vector length with cosine >= threshold. distinct: node, vector; at most SMALL of each length."""
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        node, v = rows["node"].to_numpy(), np.stack(rows["vector"].to_list()).astype(np.float64)
-        size = np.sqrt(np.einsum("ij,ij->i", v, v))
-        near = [np.flatnonzero(np.einsum("ij,j->i", v[i + 1 :], v[i]) / (size[i + 1 :] * size[i]) >= threshold) + i + 1 for i in range(len(v))]
-        return pd.DataFrame({"a": np.repeat(node, [len(x) for x in near]), "b": node[np.concatenate(near)]})
-
-    return distinct.groupBy(F.size("vector").alias("d")).applyInPandas(compare, "a long, b long")
-
-
 def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """key, n_links, component_id, kept."""
+    if key in ("n_links", "component_id", "kept"):
+        raise ValueError(f"the operator makes {key} itself")
     small_batches(df.sparkSession)
     v = F.col(embedding).cast("array<double>")
     sound = F.col(embedding).isNotNull() & (F.size(embedding) > 0)
@@ -140,14 +154,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     rows = rows.select("__key", "vector", *names)
     distinct = rows.where("v1 is not null").groupBy("v1", "v2").agg(F.first("vector").alias("vector"), F.count(F.lit(1)).alias("size"), F.min("__key").alias("least"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    lengths = {r["d"]: r["count"] for r in distinct.groupBy(F.size("vector").alias("d")).count().where("count > 1").collect()}
-    large = sorted(d for d, n in lengths.items() if n > SMALL)
-    vectors = distinct.select("node", "vector")
-    pairs = distinct.sparkSession.createDataFrame([], "a long, b long")
-    for d in large:
-        pairs = pairs.unionAll(links(vectors.where(F.size("vector") == d), d, threshold))
-    if len(large) < len(lengths):
-        pairs = pairs.unionAll(materialize(all_links(vectors.where(~F.size("vector").isin(large)), threshold), "links"))
+    pairs = links(distinct.select("node", F.size("vector").alias("d"), "vector"), threshold)
     found = components(pairs)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(distinct.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))

@@ -2,7 +2,7 @@
 
 A 64-bit fingerprint is split into three parts; if two differ in at most five bits, they differ in at most one bit of
 some part. The anchors of a part are the words of a linear code of covering radius 1, a Hamming code on 15 bits beside
-the bare other bits (524,288 anchors a part): every part lies within one bit of an anchor, its home. A part is replicated
+the bare other bits (262,144 anchors of the part of 22 bits, 131,072 of each of 21): every part lies within one bit of an anchor, its home. A part is replicated
 to every anchor within two bits, so a pair that differs in one bit of the part meets at the home of either. Homes and
 replicas are compared at each anchor by all 64 bits. Nothing is lost.
 
@@ -11,6 +11,8 @@ repeated for each salt. An anchor gives a spanning forest of its links, not all
 
 Null and empty text has fingerprint zero and links like any other. Null doc_ids are kept and take part; component_id is
 the smallest id that is not null, or null. Repeated rows and ties give equal results. An empty table gives an empty table.
+Texts of any length are taken whole, in memory in proportion to the longest. Other columns are left out; a key that is called
+like a column of the result is refused.
 
 Near copies in the pipeline are another matter (near_copies): texts whose sets of COPY_SHINGLE words have a Jaccard
 similarity of at least SIMILAR. Fingerprints of such pairs differ in about ten bits of 64, where no covering code tells
@@ -39,7 +41,8 @@ SHINGLE = 4
 SEED = 42
 DISTANCE = 4
 PARTS = ((0, 22), (22, 21), (43, 21))
-BITS = 23
+#: Bits of the widest part; a part's number stands above them in an anchor.
+BITS = 22
 RADIUS = 1
 #: near_copies: words of a shingle, similarity, bands and minima of a band.
 COPY_SHINGLE = 5
@@ -81,13 +84,13 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.mapInArrow(run, f"__key {rows.schema['__key'].dataType.simpleString()}, fp long")
 
 
-@lru_cache(maxsize=1)
-def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each syndrome: the pattern to the home; then all patterns to anchors within radius + 1, with their bounds; last the bits' parity checks."""
-    columns = [*range(1, 16), *[0] * (BITS - 15)]  # a Hamming code on 15 bits; the others are in no check
+@lru_cache(maxsize=len(PARTS))
+def covering(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of parts of n bits, for each syndrome: the pattern to the home; then all patterns to anchors within radius + 1, with their bounds; last the bits' parity checks."""
+    columns = [*range(1, 16), *[0] * (n - 15)]  # a Hamming code on 15 bits; the others are in no check
     by: list[list[int]] = [[] for _ in range(16)]
     for weight in range(RADIUS + 2):
-        for bits in combinations(range(BITS), weight):
+        for bits in combinations(range(n), weight):
             s = p = 0
             for b in bits:
                 s ^= columns[b]
@@ -101,9 +104,9 @@ def covering() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """anchor (with its part's number above), home (whether it is the home) and the row of fp."""
-    home, patterns, bounds, columns = covering()
     out = []
     for k, (low, n) in enumerate(PARTS):
+        home, patterns, bounds, columns = covering(n)
         part = (fp >> low) & ((1 << n) - 1)
         s = np.zeros(len(fp), dtype=np.int64)
         for b in range(n):
@@ -195,6 +198,8 @@ def links(fps: DataFrame, distance: int = DISTANCE, homes: int = HOMES) -> DataF
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, homes: int = HOMES) -> DataFrame:
     """key, fp (long) and component_id (smallest key reachable)."""
+    if key in ("fp", "component_id"):
+        raise ValueError(f"the operator makes {key} itself")
     own = materialize(fingerprints(df, key, text), "fingerprints")
     least = materialize(own.groupBy("fp").agg(F.min("__key").alias("__least")), "fps")
     found = components(links(least.select("fp"), distance, homes))

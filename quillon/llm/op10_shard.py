@@ -48,7 +48,9 @@ def shuffle_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shard
     first = F.coalesce(F.sum("__n").over(Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("__before", before).join(F.broadcast(groups.select("__group", first.alias("__first"))), "__group").select("__bucket", (F.col("__before") + F.col("__first")).alias("__start"))
 
-    held = scattered.repartition(-(-n_buckets // BUCKETS), "__bucket").groupBy("__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
+    # a task takes its BUCKETS buckets by their numbers, not by a hash, which would give some tasks several times as many
+    task = F.floor(F.col("__bucket") / BUCKETS).cast("int").alias("__task")
+    held = scattered.select(task, "__bucket", "__row").repartitionById(-(-n_buckets // BUCKETS), "__task").groupBy("__task", "__bucket").agg(F.sort_array(F.collect_list("__row")).alias("__rows"))
     mixed = held.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__rows", F.lit(seed)).alias("__rows"))
     placed = join_checked(mixed, starts, "__bucket").select("__start", F.posexplode("__rows").alias("__at", "__row"))
     placed = placed.select("__row.row", (F.col("__start") + F.col("__at")).alias("place"))
