@@ -56,20 +56,23 @@ def by_quota(rows: Sequence[dict], count: int, quota: dict[str, int]) -> list[di
 def with_category_cap(rows: Sequence[dict], count: int, cap: int) -> list[dict]:
     """Ranked rows, of equal ranks the one whose rarest tag has been chosen least; a category's cap gives way only when nothing else is left.
 
-    rows: id, rank (comparable), tags; the first tag is the category."""
+    rows: id, rank (comparable), tags; the first tag is the category. Rows with the same tags wait in line behind their first."""
     if len(rows) < count:
         raise ValueError("fewer rows than are asked for")
-    left = sorted(rows, key=lambda r: (r["rank"], r["id"]))
+    lines: dict[tuple, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: (r["rank"], r["id"]), reverse=True):
+        lines.setdefault(((r["tags"] or ["ordinary"])[0], frozenset(r["tags"])), []).append(r)
     chosen: Counter = Counter()
     out: list[dict] = []
     while len(out) < count:
-        scarce = lambda r: (r["rank"], min((chosen[t] for t in r["tags"]), default=0), r["id"])
-        free = [r for r in left if chosen[(r["tags"] or ["ordinary"])[0]] < cap]
-        best = min(free or left, key=scarce)
-        left.remove(best)
+        keys = [((r := line[-1])["rank"], min((chosen[t] for t in r["tags"]), default=0), r["id"], at) for at, line in lines.items()]
+        free = [k for k in keys if chosen[k[-1][0]] < cap]
+        at = min(free or keys, key=lambda k: k[:-1])[-1]
+        out.append(lines[at].pop())
+        if not lines[at]:
+            del lines[at]
         if free:
-            chosen[(best["tags"] or ["ordinary"])[0]] += 1
-        out.append(best)
+            chosen[at[0]] += 1
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..functions import text as t
-from ..operators import selection
+from ..operators import greedy, selection
 from ..sources.tables import pairs, table
 from . import duck
 
@@ -77,16 +77,14 @@ def quota_selection(spark, sf_dir):
 
 
 def capped_greedy(spark, sf_dir):
-    rows = selection.pruned(_parts(spark, sf_dir).withColumn("tag", F.col("tags")[0]), "tag", [F.col("rank"), F.col("id")], 80)
-    return selection.in_order(rows.drop("tag"), lambda r: _numbered(selection.with_category_cap(_ranked(r), 40, 12)), "place long, id long")
+    rows = greedy.category_candidates(_parts(spark, sf_dir), 40)
+    return selection.in_order(rows, lambda r: _numbered(selection.with_category_cap(_ranked(r), 40, 12)), "place long, id long")
 
 
 def relaxed_greedy(spark, sf_dir):
-    def kernel(rows):
-        ranked = [r | {"cell": r["tags"][0], "unique": (("name", r["family"]),), "family": r["family"]} for r in _ranked(rows)]
-        return _numbered(selection.with_relaxed_caps(ranked, 60)[0])
-
-    return selection.in_order(_parts(spark, sf_dir), kernel, "place long, id long")
+    """Cells by the first word of the type, each name once, under caps per brand and size."""
+    rows = _parts(spark, sf_dir).select("id", "rank", F.col("tags")[0].alias("cell"), "domain", "source", "family", F.array(F.concat(F.lit("name "), "family")).alias("unique"))
+    return greedy.relaxed_choice(rows, 60)[0]
 
 
 def diversity_greedy(spark, sf_dir):
