@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cascades, composites, forms, proofs, relational, rulings, scoring, similarity, texts
+from .plans import cascades, choices, composites, forms, proofs, ranked, relational, rulings, scoring, similarity, texts
 
-MODULES = (texts, forms, cascades, composites, proofs, relational, rulings, similarity, scoring)
+MODULES = (texts, forms, cascades, choices, composites, proofs, relational, ranked, rulings, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -144,6 +144,22 @@ def hashed_shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(short)
 
 
+def _tagged(tag: str, runs: Column) -> Column:
+    return F.transform(runs, lambda g: F.concat(F.lit(tag), g))
+
+
+def tagged_features(words: Column) -> Column:
+    """Runs of 2 to 6 words with their place: p opens the text, s closes it, i stands anywhere, f is an opening with a closing that
+    don't overlap; with repeats for inner runs. Each is tagged by kind and width, as in `p2:`."""
+    run = lambda start, n: F.array_join(F.slice(words, start, n), " ")
+    parts = []
+    for n in range(2, 7):
+        head, tail = run(1, n), run(-n, n)
+        ends = F.array(F.concat(F.lit(f"p{n}:"), head), F.concat(F.lit(f"s{n}:"), tail), F.when(F.size(words) >= 2 * n, F.concat(F.lit(f"f{n}:"), head, F.lit("||"), tail)))
+        parts += [F.when(F.size(words) >= n, F.array_compact(ends)).otherwise(F.array().cast("array<string>")), _tagged(f"i{n}:", n_grams(words, n))]
+    return F.concat(*parts)
+
+
 def character_shingles(text: Column, n: int = 5) -> Column:
     """Distinct runs of n characters of the text without spaces."""
     compact = F.replace(text, F.lit(" "), F.lit(""))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import SENTINEL
-from ..operators.ranks import global_rank
+from ..operators.digests import one_digest
+from ..operators.ranks import global_rank, order_statistics
 
 
 class BadInput(ValueError):
@@ -133,11 +134,11 @@ def monitor(spark: SparkSession, path: str) -> DataFrame:
 
 def monitor_summary(rows: DataFrame) -> DataFrame:
     """samples, peaks, means, the share of busy samples and p95 = sorted[min(n - 1, floor(0.95 n))]; zeros when there are none."""
-    ordered = F.sort_array(F.collect_list("utilization"))
-    n = F.count(F.lit(1))
-    p95 = F.try_element_at(ordered, (F.least(n - 1, F.floor(n * 0.95)) + 1).cast("int"))
-    out = rows.agg(n.alias("samples"), F.max("memory").alias("peak_memory"), F.avg("utilization").alias("mean_utilization"), F.avg((F.col("utilization") >= 80).cast("double")).alias("busy_fraction"), F.when(n > 0, p95).alias("p95_utilization"), F.max("power").alias("peak_power"))
-    return out.fillna(0)
+    rows = rows.withColumn("__all", F.lit(0))
+    p95 = order_statistics(rows, "__all", "utilization", F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)))
+    out = rows.agg(F.count(F.lit(1)).alias("samples"), F.max("memory").alias("peak_memory"), F.avg("utilization").alias("mean_utilization"), F.avg((F.col("utilization") >= 80).cast("double")).alias("busy_fraction"), F.max("power").alias("peak_power"))
+    out = out.join(F.broadcast(p95.select(F.col("value").alias("p95_utilization"))), F.lit(True), "left")  # a row each
+    return out.select("samples", "peak_memory", "mean_utilization", "busy_fraction", "p95_utilization", "peak_power").fillna(0)
 
 
 def verified_manifest(spark: SparkSession, path: str, schema: T.StructType, rows: int, unique: tuple[str, ...], rule: str) -> DataFrame:
@@ -199,5 +200,4 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def tree_hash(hashes: DataFrame, root: str) -> str:
     """One hash for a folder: of its sorted lines of relative path and hash."""
-    line = F.concat(F.substring_index("path", root, -1), F.lit(" "), F.col("sha256"))
-    return hashes.agg(F.sha2(F.concat(F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")), 256).alias("h")).first()["h"]
+    return one_digest(hashes.select(F.concat(F.substring_index("path", root, -1), F.lit(" "), F.col("sha256")).alias("line")), "line")
