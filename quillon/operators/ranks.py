@@ -59,7 +59,8 @@ def order_statistics(df: DataFrame, by: str, value: str, place: Column, ranges:
         if open_.isEmpty():
             break
         # halves, as the whole width may exceed a double
-        share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        half = F.nullif(F.col("high") / 2 - F.col("low") / 2, F.lit(0.0))  # null between the two least doubles, which are told apart as they are
+        share = F.coalesce((F.col("v") / 2 - F.col("low") / 2) / half, (F.col("v") > F.col("low")).cast("double"))
         cut = F.least(F.lit(ranges - 1), F.floor(share * ranges)).alias("cut")
         near = rows.join(open_, "by").where("v between low and high").groupBy("by", "n", "place", cut).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy("by").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -21,7 +21,7 @@ def test_grouped_rank_splits_a_hot_group(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 1024])
+@pytest.mark.parametrize("ranges", [64, 1024])
 def test_order_statistics(spark, ranges):
     draw = random.Random(2)
     groups = {
