@@ -193,6 +193,7 @@ def substring_dedup(df: DataFrame, key: str = "doc_id", text: str = "text", wind
 
     spans = simple.unionAll(whole).unionAll(parsed).unionAll(crossed)
     spans = spans.groupBy(*KEYS).agg(F.collect_set(F.struct("from", "to")).alias("__spans"))  # a set, so that copies of a row count once
+    spans = materialize(spans, "spans")  # so that AQE can split a row that is repeated very often in the join
     joined = docs.drop("__text").join(spans, KEYS, "left").select("__row", "__spans")  # the text travels once, in its row
     out = joined.mapInArrow(_remove(text), with_row(docs, "n_words long, n_removed long, kept string, spans array<struct<`from`:int,`to`:int>>"))
     return out.select("__row.*", *OWN)
