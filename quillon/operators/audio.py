@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from fractions import Fraction
+from functools import lru_cache
+from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Silence is at most 32 of 32768, clipping from 32760.
@@ -52,10 +55,43 @@ def _band(x, p, rng):
     return np.fft.irfft(s, len(x))
 
 
+@lru_cache(maxsize=64)
+def _low_pass(up: int, down: int) -> np.ndarray:
+    """A windowed sinc at the lower of both rates, ten zero crossings to a side, under a Kaiser window of 5."""
+    most = max(up, down)
+    half = 10 * most
+    h = np.sinc((np.arange(2 * half + 1) - half) / most) * np.kaiser(2 * half + 1, 5.0)
+    return h * (up / h.sum())
+
+
+def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """x at up / down times its rate, ceil(n * up / down) samples: the filter runs over samples spread by `up`, of which every
+    `down`-th is wanted, so each result takes one phase of the filter, and neither zeros nor dropped samples are computed."""
+    common = gcd(up, down)
+    up, down = up // common, down // common
+    if up == down or not len(x):
+        return x.astype(np.float64)
+    h = _low_pass(up, down)
+    half = len(h) // 2
+    n = -(-len(x) * up // down)
+    at = np.arange(n, dtype=np.int64) * down + half  # in the spread samples
+    taps = -(-len(h) // up)
+    held = np.concatenate([np.zeros(taps), x, np.zeros(half // up + 2)])
+    phases = np.zeros((up, taps))
+    for p in range(up):
+        phases[p, : len(h[p::up])] = h[p::up]
+    out = np.empty(n)
+    for i in range(0, n, 65_536):  # bounded memory for long recordings
+        t = at[i : i + 65_536]
+        window = held[(t // up + taps)[:, None] - np.arange(taps)[None, :]]
+        out[i : i + 65_536] = np.einsum("ij,ij->i", window, phases[t % up])
+    return out
+
+
 def _resampled(x, p, rng):
-    """Read at another speed."""
-    n = max(1, round(len(x) / p["factor"]))
-    return np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x)
+    """Read at another speed, given as up / down or as a factor."""
+    rate = Fraction(p["up"], p["down"]) if "up" in p else 1 / Fraction(p["factor"]).limit_denominator(1000)
+    return resample(x, rate.numerator, rate.denominator)
 
 
 def _room(x, p, rng):
@@ -113,6 +149,90 @@ def augment(df: DataFrame, profile: str, parameters: dict, key: str, samples: st
     return df.mapInPandas(run, df.schema)
 
 
+#: Least and most of an audio row's statistics.
+DURATION, PEAK, RMS, ACTIVE, CLIPPING, SILENCE = (0.2, 30.0), 0.002, 0.0005, 0.02, 0.01, 3.0
+LINKED = ("source_id", "source_family_id", "utterance_family_id")
+
+
+def _reasons(rows: DataFrame, rules: list[tuple[Column, str]], *keep: str) -> DataFrame:
+    """keep and reason for every rule that holds for a row."""
+    judged = rows.select(*keep, *(F.when(rule, F.lit(reason)).alias(f"__{i}") for i, (rule, reason) in enumerate(rules)))
+    return judged.select(*keep, F.explode(F.array_compact(F.array(*(f"__{i}" for i in range(len(rules)))))).alias("reason"))
+
+
+def manifest_issues(manifest: DataFrame, accepted: DataFrame, audio: DataFrame, channels: int = 1, rate: int = 16_000, width: int = 2) -> DataFrame:
+    """candidate_id and reason for whatever an audio manifest gets wrong; empty for a sound one.
+
+    manifest: candidate_id, audio_filepath, text, text_sha256 and the linked fields, in the order of `position`; accepted:
+    candidate_id, target_text and the linked fields; audio: file, channels, rate, width (null if malformed) and the statistics.
+    The first row of an id, a path or a recording stands, later ones are duplicates; rows of unknown ids are not looked at further,
+    and rows without a readable file not at what it holds. Accepted items without a row are missing."""
+    wanted = accepted.select(F.col("candidate_id").alias("__id"), F.col("target_text").alias("__text"), *(F.col(c).alias(f"__{c}") for c in LINKED))
+    heard = audio.select(F.col("file").alias("__file"), *(F.col(c).alias(f"__{c}") for c in ("channels", "rate", "width", "duration_seconds", "peak", "rms", "active_fraction", "clipping_fraction", "leading_silence", "trailing_silence", "audio_sha256")))
+    rows = manifest.join(wanted, F.col("candidate_id") == F.col("__id"), "left").join(heard, F.col("audio_filepath") == F.col("__file"), "left")
+    again = lambda c, among: among & (F.min(F.when(among, F.col("position"))).over(Window.partitionBy(c)) < F.col("position"))
+    known, there = F.col("__id").isNotNull(), F.col("__file").isNotNull()
+    sound = known & there & F.col("__rate").isNotNull()
+    c = F.col
+    rules = [
+        (~known, "unexpected_item"),
+        (again("candidate_id", known), "duplicate_candidate_id"),
+        (again("audio_filepath", known), "duplicate_audio_path"),
+        (known & ~there, "missing_audio"),
+        (known & there & c("__rate").isNull(), "malformed_audio"),
+        (sound & ~(c("text").eqNullSafe(c("__text")) & c("text_sha256").eqNullSafe(F.sha2("__text", 256))), "transcript_linkage_mismatch"),
+        *((sound & ~c(x).eqNullSafe(c(f"__{x}")), f"{x}_mismatch") for x in LINKED),
+        (again("__audio_sha256", sound), "duplicate_audio_sha256"),
+        (sound & (c("__channels") != channels), "wrong_channels"),
+        (sound & (c("__rate") != rate), "wrong_sample_rate"),
+        (sound & (c("__width") != width), "wrong_sample_width"),
+        (sound & ~c("__duration_seconds").between(*DURATION), "duration_out_of_bounds"),
+        (sound & (c("__peak") < PEAK), "low_peak"),
+        (sound & (c("__rms") < RMS), "low_rms"),
+        (sound & (c("__active_fraction") < ACTIVE), "low_active_fraction"),
+        (sound & (c("__clipping_fraction") > CLIPPING), "clipping"),
+        (sound & (c("__leading_silence") > SILENCE), "leading_silence"),
+        (sound & (c("__trailing_silence") > SILENCE), "trailing_silence"),
+    ]
+    found = _reasons(rows, rules, "candidate_id")
+    missing = accepted.select("candidate_id").join(manifest.select("candidate_id"), "candidate_id", "left_anti")
+    return found.unionAll(missing.select("candidate_id", F.lit("missing_item")))
+
+
+def augmentation_issues(rows: DataFrame, sources: DataFrame, profiles: list[str], ratio_tolerance: float = 0.02, rms_tolerance_db: float = 0.5, most_peak: float = 0.99, plain: str = "clean") -> DataFrame:
+    """source_id, profile_id and reason of augmented recordings outside their tolerances, and of sources without every profile once.
+
+    rows: source_id, profile_id, path, expected_ratio and observed_ratio (of durations), source_rms, output_rms, peak,
+    peak_gain (under 1 where the peak was held down, so that loudness can't match), clipping_fraction, active_fraction, audio_sha256."""
+    c = F.col
+    changed = c("profile_id") != plain
+    loudness = F.when((c("output_rms") > 0) & (c("source_rms") > 0), 20 * F.log10(c("output_rms") / c("source_rms"))).otherwise(0.0)
+    same = lambda by, among: among & (F.count(F.when(among, 1)).over(Window.partitionBy(by)) > 1)
+    known = sources.select("source_id").distinct().withColumn("__known", F.lit(True))
+    rules = [
+        (c("__known").isNull(), "unknown_source"),
+        (~c("profile_id").isin(profiles), "unknown_profile"),
+        (c("clipping_fraction") > CLIPPING, "clipping_fraction"),
+        (c("active_fraction") < ACTIVE, "active_fraction"),
+        (changed & (c("peak") > most_peak), "peak_limit"),
+        (changed & (F.abs(c("observed_ratio") - c("expected_ratio")) > ratio_tolerance), "duration_ratio"),
+        (changed & (c("peak_gain") >= 0.999999) & (F.abs(loudness) > rms_tolerance_db), "rms_match"),
+        (same("path", F.lit(True)), "duplicate_output_path"),
+        (same("audio_sha256", changed), "duplicate_hash"),
+    ]
+    found = _reasons(rows.join(known, "source_id", "left"), rules, "source_id", "profile_id")
+    every = known.select("source_id", F.explode(F.array(*(F.lit(p) for p in profiles))).alias("profile_id"))
+    held = rows.groupBy("source_id", "profile_id").agg(F.count(F.lit(1)).alias("n"))
+    short = every.join(held, ["source_id", "profile_id"], "left").where("coalesce(n, 0) <> 1")
+    return found.unionAll(short.select("source_id", "profile_id", F.lit("not_once_for_source")))
+
+
+def voice_coverage(df: DataFrame, voices: DataFrame, voice: str, least: int = 1) -> DataFrame:
+    """voice and n of the voices with fewer than `least` rows."""
+    counts = df.groupBy(voice).agg(F.count(F.lit(1)).alias("n"))
+    return voices.select(voice).distinct().join(counts, voice, "left").select(voice, F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < least)
+
+
 def voice_report(df: DataFrame, voice: str) -> DataFrame:
     """count, least, mean, median, p95 and most duration by voice."""
     s = F.col("duration_seconds")

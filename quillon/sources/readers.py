@@ -6,17 +6,20 @@ from __future__ import annotations
 
 import io
 import tarfile
+import unicodedata
 import wave
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import SENTINEL
+from ..functions.text import SAFE_ID, SENTINEL
 from ..operators.digests import one_digest
 from ..operators.ranks import global_rank, order_statistics
+from .tables import materialize
 
 
 class BadInput(ValueError):
@@ -30,17 +33,32 @@ def refuse(bad: DataFrame, what: str) -> None:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1) and value. A file's lines are numbered in one task: for small files such as review sheets."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r\n|\n")).alias("p", "value")).select("file", (F.col("p") + 1).alias("line"), "value")
+    """file, line (from 1) and value of text files of any size.
+
+    A file is read in splits; a line's number is its place in its split plus the lines of the splits before, a table of a row per
+    split. The lines are written once, as a second scan could be split otherwise."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    raw = materialize(raw, "lines")
+    counts = raw.groupBy("file", "split").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = materialize(counts.select("file", "split", "first", before.alias("before")), "splits")
+    return raw.join(counts, ["file", "split"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def _objects(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """raw with row (the line's object) and bad; blank lines are left out."""
+    parsed = raw.where(F.trim("value") != "").withColumn("row", F.from_json("value", schema))
+    return parsed.withColumn("bad", F.col("row").isNull() | ~F.trim("value").startswith("{") | F.try_parse_json("value").isNull())
 
 
 def jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: bool = True) -> DataFrame:
-    """One object per line. Blank lines are skipped; a malformed line or another value is refused (strict) or left out."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
-    parsed = raw.withColumn("row", F.from_json("value", schema)).withColumn("bad", F.col("row").isNull() | ~F.trim("value").startswith("{") | F.try_parse_json("value").isNull())
-    if strict:
-        refuse(parsed.where("bad").select("file", F.substring("value", 1, 80).alias("starts")), "not a JSON object")
+    """One object per line. Blank lines are skipped; a malformed line or another value is refused by file and line (strict) or left out.
+
+    Lines are numbered only for a refusal, so that sound input is read without a shuffle."""
+    parsed = _objects(spark.read.text(path), schema)
+    if strict and not parsed.where("bad").isEmpty():
+        bad = _objects(lines(spark, path), schema).where("bad").orderBy("file", "line")
+        refuse(bad.select("file", "line", F.substring("value", 1, 80).alias("starts")), "not a JSON object")
     return parsed.where("not bad").select("row.*")
 
 
@@ -49,16 +67,20 @@ def json_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """The columns by name, line (from 2) and issues: array of the required columns whose cell is blank. A missing column is refused."""
+    """The columns by name, line (from 2) and issues of a table with a header: `blank_<column>` of required cells that are blank,
+    `missing_cells` of rows that are short, `extra_cells` of rows that are long. A missing or repeated column is refused."""
     numbered = lines(spark, path).where("value <> ''")
     head = numbered.where("line = 1").limit(1).collect()
     names = head[0]["value"].split("\t") if head else []
     if missing := [c for c in required if c not in names]:
         raise BadInput(f"columns are missing: {missing}")
-    cells = F.split("value", "\t")
-    rows = numbered.where("line > 1").select("line", *(F.try_element_at(cells, F.lit(i + 1)).alias(c) for i, c in enumerate(names)))
-    issues = F.array_compact(F.array(*(F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"blank_{c}")) for c in required)))
-    return rows.withColumn("issues", issues)
+    if len(set(names)) < len(names):
+        raise BadInput(f"columns are repeated: {sorted({c for c in names if names.count(c) > 1})}")
+    cells = F.when(F.col("line") > 1, F.split("value", "\t", -1))  # a later filter may come first, and the header's cells aren't values
+    rows = numbered.where("line > 1").select("line", F.size(cells).alias("__cells"), *(F.try_element_at(cells, F.lit(i + 1)).alias(c) for i, c in enumerate(names)))
+    shape = [F.when(F.col("__cells") < len(names), F.lit("missing_cells")), F.when(F.col("__cells") > len(names), F.lit("extra_cells"))]
+    blank = [F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.lit(f"blank_{c}")) for c in required]
+    return rows.withColumn("issues", F.array_compact(F.array(*blank, *shape))).drop("__cells")
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -67,18 +89,58 @@ def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
-def transcript_segments(spark: SparkSession, path: str) -> DataFrame:
-    """file, place, start, end, text of transcripts: the text after a Sync runs to the next Sync. Intervals that are empty or overlap are refused."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    turns = whole.select("file", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<Turn\b[^>]*>(.*?)</Turn>"), 1)).alias("turn", "body"))
-    marks = turns.select("file", "turn", F.posexplode(F.arrays_zip(F.regexp_extract_all("body", F.lit(r'<Sync\s+time="([^"]*)"'), 1).alias("t"), F.regexp_extract_all("body", F.lit(r'(?s)<Sync\s+time="[^"]*"\s*/?>([^<]*)'), 1).alias("x"))).alias("p", "m"))
-    w = Window.partitionBy("file", "turn").orderBy("p")
-    cut = marks.select("file", "turn", "p", F.col("m.t").cast("double").alias("start"), F.lead(F.col("m.t").cast("double")).over(w).alias("end"), F.trim(F.regexp_replace("m.x", r"\s+", " ")).alias("text"))
-    cut = cut.where("end is not null and text <> ''")
-    order = Window.partitionBy("file").orderBy("turn", "p")
-    cut = cut.withColumn("before", F.lag("end").over(order)).withColumn("place", F.row_number().over(order) - 1)
-    refuse(cut.where("end <= start or start < before").select("file", "start", "end"), "intervals are empty or overlap")
-    return cut.select("file", "place", "start", "end", "text")
+SEGMENTS = "file string, recording string, turn int, place int, start double, `end` double, text string, problem string"
+
+
+def transcript_segments(spark: SparkSession, path: str, mode: str = "", collection: str = "", forbidden: str = "") -> DataFrame:
+    """file, recording, sample_id, place, start, end and text of XML transcripts, of all folders below: the text after a Sync runs to the next Sync of its Turn.
+
+    A path has to hold `mode` and `collection`, and may not hold `forbidden` (none by default), whatever the case. A file that isn't
+    XML, a Sync without a time, intervals that are empty or overlap and ids that aren't safe are refused by file; turns with fewer
+    than two marks and blank texts are left out. Texts are in NFC, white space squeezed. A transcript is parsed in one task, by an XML parser."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content")
+    at = F.lower("file")
+    wrong = F.when(F.lit(bool(forbidden)) & at.contains(forbidden.lower()), "a transcript of a forbidden kind").when(~at.contains(mode.lower()), f"not a {mode} transcript").when(~at.contains(collection.lower()), f"not of {collection}")
+    refuse(found.select("file", wrong.alias("problem")).where("problem is not null"), "transcripts")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(file, *segment) for file, content in zip(batch["file"], batch["content"], strict=True) for segment in _segments(file, content)]
+            yield pd.DataFrame(rows, columns=[c.split()[0].strip("`") for c in SEGMENTS.split(", ")])
+
+    cut = materialize(found.mapInPandas(parse, SEGMENTS), "segments")
+    refuse(cut.where("problem is not null").orderBy("file").select("file", "problem", "start", "end"), "transcripts")
+    name = F.lower(F.concat_ws("-", F.lit("recording"), "recording", F.lpad(F.col("turn").cast("string"), 4, "0"), F.lpad(F.col("place").cast("string"), 4, "0")))
+    cut = cut.withColumn("sample_id", F.regexp_replace(F.regexp_replace(name, "[^a-z0-9._-]+", "-"), "^-+|-+$", ""))
+    refuse(cut.where(~F.col("sample_id").rlike(SAFE_ID)).select("file", "sample_id"), "ids aren't safe")
+    order = Window.partitionBy("file").orderBy("turn", "place")
+    return cut.select("file", "recording", "sample_id", (F.row_number().over(order) - 1).alias("place"), "start", "end", "text")
+
+
+def _segments(file: str, content: bytes) -> Iterator[tuple]:
+    """recording, turn, place, start, end, text and problem of one transcript."""
+    recording = file.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError as e:
+        yield recording, None, None, None, None, None, f"not XML: {e}"
+        return
+    last = float("-inf")
+    for turn, spoken in enumerate(root.iter("Turn")):
+        marks = [(s.get("time"), s.tail or "") for s in spoken.iter("Sync")]
+        if len(marks) < 2:
+            continue
+        try:
+            times = [float(t) for t, _ in marks]
+        except (TypeError, ValueError):
+            yield recording, turn, None, None, None, None, "a Sync without a time"
+            return
+        for place, (start, end, (_, text)) in enumerate(zip(times, times[1:], marks, strict=False)):
+            text = unicodedata.normalize("NFC", " ".join(text.split()))
+            if text:
+                problem = "an interval is empty" if end <= start else "intervals overlap" if start < last else None
+                yield recording, turn, place, start, end, text, problem
+                last = end
 
 
 def archive_stems(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +157,7 @@ def archive_stems(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((file, m.name.rsplit("/", 1)[-1].removesuffix(".wav"), unsafe))
             yield pd.DataFrame(rows, columns=["file", "stem", "unsafe"])
 
-    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, stem string, unsafe boolean")
+    members = materialize(spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "file string, stem string, unsafe boolean"), "members")
     refuse(members.where("unsafe"), "unsafe archive member")
     return members.select("file", "stem").distinct()
 
@@ -121,6 +183,7 @@ def wav(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "channels", "rate", "width", "frames", "seconds", "samples"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(read, WAV_DDL)
+    found = materialize(found, "samples")  # decoded once, for the refusal and for what follows
     refuse(found.where("rate is null").select("file"), "not a WAV file")
     return found
 
@@ -141,8 +204,10 @@ def monitor_summary(rows: DataFrame) -> DataFrame:
     return out.select("samples", "peak_memory", "mean_utilization", "busy_fraction", "p95_utilization", "peak_power").fillna(0)
 
 
-def verified_manifest(spark: SparkSession, path: str, schema: T.StructType, rows: int, unique: tuple[str, ...], rule: str) -> DataFrame:
-    """A JSON-lines manifest that has so many rows, unique keys, and whose rows all satisfy the rule (an expression)."""
+def verified_manifest(spark: SparkSession, path: str, schema: T.StructType, rows: int, unique: tuple[str, ...], rule: str, sha256: str | None = None) -> DataFrame:
+    """A JSON-lines manifest with this checksum (of its file), so many rows, unique keys, and whose rows all satisfy the rule (an expression)."""
+    if sha256 is not None and [r["sha256"] for r in file_hashes(spark, path).limit(2).collect()] != [sha256]:
+        raise BadInput(f"{path} doesn't have the checksum {sha256}")
     df = jsonl(spark, path, schema)
     seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.expr(rule), 0).otherwise(1)).alias("broken"), *(F.count_distinct(c).alias(c) for c in unique)).first()
     if seen["n"] != rows or seen["broken"] or any(seen[c] != rows for c in unique):

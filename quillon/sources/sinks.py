@@ -1,10 +1,12 @@
-"""Writers: canonical JSON lines, reports, manifests, review sheets, event logs. Jobs commit their output as a whole."""
+"""Writers: canonical JSON lines, reports, manifests, review sheets, event logs. Lines and manifests are written beside their path and then put there as a whole."""
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +27,38 @@ def canonical(df: DataFrame) -> Column:
     return F.to_json(F.struct(*(ordered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name))), {"ignoreNullFields": "false"})
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.select(canonical(df).alias("value")).write.mode(mode).text(path)
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """Put a finished folder in a path's place; what stood there goes last. The store has to rename folders as a whole."""
+    jvm = spark._jvm
+    new, now, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path, f"{staged}-before"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = fs.exists(now)
+    if there and not fs.rename(now, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(new, now):
+        if there:
+            fs.rename(old, now)
+        raise OSError(f"{staged} can't be moved to {path}")
+    if there:
+        fs.delete(old, True)
+
+
+def write_whole(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Write df beside the path, then put it there: a job that fails leaves what was there before, and no reader sees half of it."""
+    staged = f"{path.rstrip('/')}.part-{uuid.uuid4().hex}"
+    try:
+        write(df.write, staged)
+    except Exception:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        raise
+    _replace(df.sparkSession, staged, path.rstrip("/"))
+
+
+def write_jsonl(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """A canonical object per line, as a whole (see write_whole). With an order, the parts and the lines in them follow it."""
+    rows = df.orderBy(*order) if order else df
+    write_whole(rows.select(canonical(df).alias("value")), path, lambda w, p: w.text(p))
 
 
 def report(df: DataFrame, most: int = 10_000) -> str:
@@ -38,8 +70,9 @@ def report(df: DataFrame, most: int = 10_000) -> str:
 
 
 def write_manifest(df: DataFrame, path: str, columns: list[str], order: str) -> None:
-    """A projection in order."""
-    df.select(*columns, order).orderBy(order).drop(order).write.json(path)
+    """A projection whose parts and lines are in order, written as a whole."""
+    rows = df.select(*columns, F.col(order).alias("__order")).orderBy("__order").drop("__order")
+    write_whole(rows, path, lambda w, p: w.json(p))
 
 
 def write_review_sheets(df: DataFrame, path: str) -> None:
