@@ -207,6 +207,11 @@ def without_prohibited(form: Column) -> Column:
     return squeezed(form)
 
 
+def carrier_free(number: Column) -> Column:
+    """The surface form of a number-masked form without prohibited patterns."""
+    return surface_form(without_prohibited(number))
+
+
 def strip_carrier(words: Column, prefixes: Column, suffixes: Column) -> Column:
     """Words (a column of arrays) without the first of the prefixes and of the suffixes (arrays of word runs, longest first) they start or end with."""
     run = lambda p: F.split(p, " ")
