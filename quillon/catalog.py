@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import cascades, choices, composites, forms, leaks, proofs, ranked, relational, rulings, scoring, similarity, texts
 
-MODULES = (texts, forms, leaks, cascades, choices, composites, proofs, relational, ranked, rulings, similarity, scoring)
+MODULES = (texts, forms, cascades, choices, composites, proofs, relational, ranked, leaks, rulings, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -36,6 +36,9 @@ MARKUP = r"https?://|www\.|```|<[^>]+>"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 LIST_MARK = r"^\s*(?:\d{1,4}[).:\-]\s*|[-*•]\s*)"
 NOISY_LINE = r"(?i)^\s*(?:json|candidates?|sentences?|stavki?|output|response)\s*:?\s*$"
+NUMBERED = r"^(?:\d{1,4}[).:\-]\s+|[-*•]\s+)"
+HEADING = r"\s*(?:stavki|odgovor|output|sentences?|kandidati|candidate|json|slovenian|slovenščina)\s*:?\s*"
+BRACKETED = r"^\s*(?:[\[{}`]|#+\s+)"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-ZČŠŽ])"
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{1,127}$"
 FORBIDDEN_SYMBOLS = ("€", "°")
