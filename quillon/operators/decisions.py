@@ -86,6 +86,55 @@ def facts(metrics: DataFrame, base: DataFrame, **comparators: DataFrame) -> Data
     return done.withColumns({"non_regression": F.col("rates_ok") & F.col("empty_ok"), "catastrophic": ~(F.col("rates_within_one") & F.col("empty_ok"))}).drop("rates_ok", "rates_within_one")
 
 
+def _unpivoted(metrics: DataFrame, name: str, *keep: str) -> DataFrame:
+    """keep, split, metric and the value as `name`: a row for each rate on the real splits."""
+    cells = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(TOLERANCE[m]).alias("tolerance"), F.col(m).alias("value")) for m in TOLERANCE)))
+    return metrics.where(F.col("split").isin(*REAL)).select(*keep, "split", cells.alias("c")).select(*keep, "split", "c.metric", "c.tolerance", F.col("c.value").alias(name))
+
+
+def votes(metrics: DataFrame, rivals: DataFrame, most: int = 3) -> DataFrame:
+    """model, prior_count, best_count, within_best, prior_stronger: each model against the earlier ones, over both rates of both real splits.
+
+    best_count: rates better than the best earlier one; within_best: none worse than it by more than its tolerance; prior_stronger:
+    one earlier model alone is better in `most` rates. Without earlier models there is nothing to be worse than."""
+    own = _unpivoted(metrics, "value", "model")
+    others = _unpivoted(rivals.withColumnRenamed("model", "rival"), "prior", "rival").drop("tolerance")
+    best = others.groupBy("split", "metric").agg(F.min("prior").alias("best"))
+    counted = own.join(best, ["split", "metric"], "left").groupBy("model").agg(
+        F.count_if(F.col("value") < F.col("best")).alias("best_count"), F.coalesce(F.every(F.col("value") <= F.col("best") + F.col("tolerance")), F.lit(True)).alias("within_best")
+    )
+    wins = own.join(others, ["split", "metric"]).groupBy("model", "rival").agg(F.count_if(F.col("prior") < F.col("value")).alias("wins"))
+    wins = wins.groupBy("model").agg(F.count(F.lit(1)).alias("prior_count"), (F.max("wins") >= most).alias("prior_stronger"))
+    out = counted.join(wins, "model", "left")
+    return out.select("model", F.coalesce("prior_count", F.lit(0)).alias("prior_count"), "best_count", "within_best", F.coalesce("prior_stronger", F.lit(False)).alias("prior_stronger"))
+
+
+def relative_gains(metrics: DataFrame, base: DataFrame, split: str, least: float = 10.0) -> DataFrame:
+    """model, wer_relative_gain, cer_relative_gain (percent of the base's rate on a split; none of a base of 0) and whether one is at least `least`."""
+    of = base.where(F.col("split") == split).select(F.col("wer").alias("__wer"), F.col("cer").alias("__cer"))  # one row
+    gain = lambda m: F.when(F.col(f"__{m}") != 0, (F.col(f"__{m}") - F.col(m)) / F.nullif(F.col(f"__{m}"), F.lit(0.0)) * 100).otherwise(0.0)
+    rows = metrics.where(F.col("split") == split).join(F.broadcast(of), F.lit(True))
+    return rows.select("model", F.round(gain("wer"), 6).alias("wer_relative_gain"), F.round(gain("cer"), 6).alias("cer_relative_gain"), ((gain("wer") >= least) | (gain("cer") >= least)).alias("passes"))
+
+
+def equivalence(metrics: DataFrame, reference: DataFrame, tolerances: dict[str, float]) -> DataFrame:
+    """model and equivalent: both rates of every split within its tolerance of the reference's, and as many empties on the real ones."""
+    limit = F.create_map(*(x for k, v in tolerances.items() for x in (F.lit(k), F.lit(v))))
+    other = reference.select("split", *(F.col(c).alias(f"__{c}") for c in ("wer", "cer", "empty")))
+    rows = metrics.where(F.col("split").isin(*tolerances)).join(other, "split")
+    near = lambda m: F.abs(F.col(m) - F.col(f"__{m}")) <= limit[F.col("split")]
+    same = ~F.col("split").isin(*REAL) | (F.col("empty") == F.col("__empty"))
+    return rows.groupBy("model").agg(F.every(near("wer") & near("cer") & same).alias("equivalent"))
+
+
+def arms(facts: DataFrame, gains: DataFrame, experiment: str, arm: Column) -> DataFrame:
+    """experiment and label of the rule "scientific": what any valid arm of an experiment shows. facts: model, experiment, non_regression, improvement; gains: model, passes."""
+    rows = facts.where(arm).join(gains.select("model", "passes"), "model")
+    seen = rows.groupBy(experiment).agg(F.some(F.col("non_regression") & F.col("improvement")).alias("real_gain"), F.some("passes").alias("synthetic_gain_10"))
+    every = facts.select(experiment).distinct().join(seen, experiment, "left").fillna(False, ["real_gain", "synthetic_gain_10"])
+    return every.select(experiment, "real_gain", F.col("synthetic_gain_10").alias("synthetic_gain"), label("scientific").alias("label"))
+
+
 def _against_prior(name: str, c: str, beats: str, matches: str, base_only: str, otherwise: str) -> list[tuple[str, str]]:
     gains = "piper_gain AND supertonic_gain AND burden = 0"
     return [
