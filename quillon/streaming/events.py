@@ -46,3 +46,35 @@ def _patience(limit: int):
 def patience(curve: DataFrame, limit: int = 3) -> DataFrame:
     """run, best_round, last_round, stop: whether `limit` rounds have gone by since the last strictly better one. Rounds of a run come in order."""
     return curve.groupBy("run").applyInPandasWithState(_patience(limit), "run string, best_round long, last_round long, stop boolean", "best double, best_round long, last_round long", "update", "NoTimeout")
+
+
+HEARTBEAT = "run string, event string, beats long, processed_rows long, total_rows long, percent_complete double"
+
+
+def _heartbeats(interval: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        done, total, beats, closed = state.get if state.exists else (0, 0, 0, False)
+        rows = []
+        if state.hasTimedOut:
+            beats += 1
+            rows.append("heartbeat")
+        for batch in batches:
+            for step in batch.sort_values("processed_rows").itertuples(index=False):
+                done, total = max(done, int(step.processed_rows)), max(total, int(step.total_rows))
+                closed = closed or step.event in ("stage_complete", "stage_failed")
+                rows.append(step.event)
+        state.update((done, total, beats, closed))
+        if not closed:
+            state.setTimeoutDuration(interval)
+        share = round(done / total * 100, 6) if total else None
+        yield pd.DataFrame({"run": key[0], "event": rows, "beats": beats, "processed_rows": done, "total_rows": total, "percent_complete": share})
+
+    return run
+
+
+def heartbeats(steps: DataFrame, interval: str | int = 30_000) -> DataFrame:
+    """The events of each run (run, event, processed_rows, total_rows) as they come, and a heartbeat whenever a run has been silent for
+    `interval` milliseconds of processing time, until its stage is complete or has failed. A heartbeat repeats the last progress.
+
+    The timer is state like the progress, so a restarted query goes on beating."""
+    return steps.groupBy("run").applyInPandasWithState(_heartbeats(int(interval)), HEARTBEAT, "done long, total long, beats long, closed boolean", "append", "ProcessingTimeTimeout")
