@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..functions import text as t
-from ..operators import greedy, selection
+from ..operators import greedy, reports, selection
 from ..sources.tables import pairs, table
 from . import duck
 
@@ -116,6 +116,30 @@ def score_pairs(spark, sf_dir):
     return p.select("p_partkey", *(f"{k}_rate" for k in kinds), *(F.col(k)[e].cast("long").alias(f"{k}_{e[0]}") for k in kinds for e in ("substitutions", "deletions", "insertions")))
 
 
+def scoring_report(spark, sf_dir):
+    """The report of all parts' names against their types: brands are domains, words of the type tags, sizes durations."""
+    rows = scored_parts(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand", (F.col("p_size") / 6).alias("duration"), (F.trim("p_type") == "").alias("empty")), "p_partkey")
+    return reports.scoring_report(rows, "p_brand", "tags", "duration", "empty")
+
+
+def capped_turns(spark, sf_dir):
+    """Turns that are hardest against the turn before: empties first, then by character and word errors and deletions, of equal ones
+    those whose rarest tag is chosen least; at most twelve of a role unless nothing else is left."""
+    p = pairs(spark, sf_dir).withColumns({"e": m.word_edits(F.col("reference"), F.col("hypothesis")), "n": F.size(m.words_of(F.col("reference"))), "cd": F.levenshtein("reference", "hypothesis")})
+    total = F.col("e.substitutions") + F.col("e.deletions") + F.col("e.insertions")
+    # rates in steps of five points, so that ties are frequent and the tags decide
+    step = lambda d, n: F.floor(m.percent(d, n) / 5)
+    rank = F.array(F.when(F.trim("hypothesis") == "", 0).otherwise(1).cast("long"), -step(F.col("cd"), F.length("reference")), -step(total, F.col("n")), -F.floor(F.col("e.deletions") / 10))
+    tags = F.array("role", F.when(F.col("n") < 40, "short").when(F.col("n") < 120, "medium").otherwise("long"), F.when(F.length("hypothesis") % 3 == 0, "third").otherwise("other"))
+    rows = greedy.category_candidates(p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), rank.alias("rank"), tags.alias("tags")), 40)
+
+    def kernel(found):
+        ranked = [r | {"rank": tuple(r["rank"]), "tags": list(r["tags"])} for r in found.to_dict("records")]
+        return _numbered(selection.with_category_cap(ranked, 40, 12))
+
+    return selection.in_order(rows, kernel, "place long, id long")
+
+
 def score_by_tag(spark, sf_dir):
     """Micro and macro rates, raw and normalised, by each of a row's tags; a row counts under all of them."""
     p = scored_parts(spark, sf_dir).select("*", F.explode("tags").alias("tag"))
@@ -147,10 +171,18 @@ w AS (SELECT id // 2 AS id, max({duck.percent('(s + d + i)', 'n')}) FILTER (id %
 SELECT CASE WHEN trim(adapted) = '' THEN 'EMPTY_HYPOTHESIS' WHEN adapted = reference THEN 'EXACT_MATCH' WHEN a < b THEN 'IMPROVED' WHEN a > b THEN 'REGRESSED' ELSE 'UNCHANGED' END AS change, count(*) AS n FROM q JOIN w USING (id) GROUP BY 1""",
     "score_pairs": f"{_PARTS} SELECT p_partkey, " + ", ".join(f"max(rate) FILTER (k = {k}) AS {x}_rate" for k, x in enumerate(_KINDS)) + ", " + ", ".join(f"max({c}) FILTER (k = {k}) AS {x}_{c}" for k, x in enumerate(_KINDS) for c in "sdi") + " FROM x GROUP BY p_partkey",
     "score_by_tag": f"{_PARTS}, g AS (SELECT x.*, unnest(string_split(q.p_type, ' ')) AS tag FROM x JOIN q USING (p_partkey)) SELECT tag, count(*) FILTER (k = 0) AS n, " + ", ".join(f"round({duck.percent(f'sum(e) FILTER (k = {k})', f'sum(n) FILTER (k = {k})')}, 4) AS {_KINDS[k]}_micro" for k in (0, 1, 3)) + ", " + ", ".join(f"round(avg(rate) FILTER (k = {k}), 4) AS {_KINDS[k]}_mean" for k in (0, 1)) + " FROM g GROUP BY tag",
+    "scoring_report": f"""{_PARTS}, l AS (SELECT p_partkey, 'totals' AS section, '' AS name FROM part UNION ALL SELECT p_partkey, 'domain', p_brand FROM part UNION ALL SELECT p_partkey, 'phenomenon', unnest(string_split(p_type, ' ')) FROM part),
+j AS (SELECT l.section, l.name, x.* FROM l JOIN x USING (p_partkey)), c AS (SELECT section, name, k, sum(s) AS substitutions, sum(d) AS deletions, sum(i) AS insertions, sum(e) AS distance, avg(rate) AS mean, median(rate) AS median, {duck.percent('sum(e)', 'sum(n)')} AS corpus FROM j GROUP BY section, name, k),
+u AS (SELECT section, name, [{', '.join(f"'{k}'" for k in _KINDS)}][k + 1] || '_' || f AS field, v AS value FROM (UNPIVOT (SELECT section, name, k, substitutions::DOUBLE AS substitutions, deletions::DOUBLE AS deletions, insertions::DOUBLE AS insertions, distance::DOUBLE AS distance, mean, median, corpus FROM c) ON substitutions, deletions, insertions, distance, mean, median, corpus INTO NAME f VALUE v)),
+o AS (SELECT section, name, count(*)::DOUBLE AS rows, sum(p_size / 6) AS duration, count(*) FILTER (trim(p_type) = '')::DOUBLE AS empty FROM l JOIN part USING (p_partkey) GROUP BY section, name),
+h AS (SELECT section, name, count(*) FILTER (k = 1 AND rate >= 100)::DOUBLE AS normalised_words_rate_ge_100, count(*) FILTER (k = 1 AND rate >= 75)::DOUBLE AS normalised_words_rate_ge_75, count(*) FILTER (k = 3 AND rate >= 50)::DOUBLE AS normalised_characters_rate_ge_50 FROM j GROUP BY section, name)
+SELECT section, name, field, round(value, 6) AS value FROM u UNION ALL SELECT section, name, f, round(v, 6) FROM (UNPIVOT o ON rows, duration, empty INTO NAME f VALUE v) UNION ALL SELECT section, name, f, v FROM (UNPIVOT h ON COLUMNS('normalised.*') INTO NAME f VALUE v)
+UNION ALL SELECT 'histogram', [{', '.join(f"'{k}'" for k in _KINDS)}][k + 1], CASE WHEN rate = 0 THEN '0' WHEN rate <= 25 THEN '0-25' WHEN rate <= 50 THEN '25-50' WHEN rate <= 75 THEN '50-75' WHEN rate <= 100 THEN '75-100' ELSE 'over-100' END, count(*)::DOUBLE FROM x GROUP BY ALL
+UNION ALL SELECT 'histogram', 'duration', CASE WHEN p_size / 6 < 2.0 THEN 'short_lt_2s' WHEN p_size / 6 <= 5.0 THEN 'medium_2_to_5s' ELSE 'long_gt_5s' END, count(*)::DOUBLE FROM part GROUP BY ALL""",
     # a part's metal is the last word of its type and no other word is one, so the quotas don't meet
     "quota_selection": """WITH p AS (SELECT p_partkey AS id, p_retailprice AS price, string_split(p_type, ' ')[-1] AS metal FROM part),
 q AS (SELECT id, price, CASE WHEN metal IN ('BRASS', 'COPPER', 'STEEL') AND row_number() OVER (PARTITION BY metal ORDER BY price DESC, id) <= 5 THEN metal END AS quota FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY quota NULLS LAST, price DESC, id) - 1 AS place FROM q) SELECT place, id FROM r WHERE place < 60""",
 }
-_ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, score_pairs, score_by_tag, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
+_ALL = (wer_rows, cer_rows, edit_counts_rows, wer_corpus_summary, wer_by_group, wer_by_bucket, recognition_change_counts, score_pairs, score_by_tag, scoring_report, capped_turns, quota_selection, capped_greedy, relaxed_greedy, diversity_greedy)
 QUERIES = {f.__name__: (f, SQL.get(f.__name__)) for f in _ALL}
