@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import cascades, choices, composites, forms, leaks, proofs, ranked, relational, rulings, scoring, similarity, texts, verdicts
+from .plans import cascades, choices, composites, forms, gates, leaks, proofs, ranked, relational, rulings, scoring, similarity, texts, verdicts
 
-MODULES = (texts, forms, cascades, choices, composites, proofs, relational, ranked, leaks, rulings, verdicts, similarity, scoring)
+MODULES = (texts, forms, gates, cascades, choices, composites, proofs, relational, ranked, leaks, rulings, verdicts, similarity, scoring)
 FLAGSHIP = "admission_report"
 
 

@@ -293,6 +293,29 @@ def tri_state(value: Column) -> Column:
     return F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no", ""), False)
 
 
+#: Fixed value: what a reason code looks like.
+REASON_CODE = r"^[A-Z][A-Z0-9_:-]{1,63}$"
+
+
+def parsed_codes(value: Column) -> Column:
+    """codes and malformed of a JSON array of strings or a list split at ; or ,: broken JSON, items that aren't strings and
+    unsupported codes are malformed and give no codes; blank values give none and are well formed."""
+    raw = F.trim(F.coalesce(value, F.lit("")))
+    tree = F.try_parse_json(F.when(raw.startswith("["), raw))
+    listed = F.from_json(F.when(tree.isNotNull(), raw), "array<string>")
+    strings = F.size(F.regexp_extract_all(F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', '""'), F.lit('""'), F.lit(0))) == F.size(listed)
+    parts = F.when(raw.startswith("["), F.when(strings, listed)).otherwise(F.split(raw, "[;,]"))
+    codes = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    sound = F.coalesce(F.forall(codes, lambda x: x.rlike(REASON_CODE)), F.lit(False))
+    return F.struct(F.when(sound, codes).otherwise(F.array().cast("array<string>")).alias("codes"), (~sound).alias("malformed"))
+
+
+def normal_path(path: Column) -> Column:
+    """An absolute path without empty, `.` and `..` parts."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
 def reason_codes(value: Column) -> Column:
     """A JSON array or a list split at ; or , as an array of trimmed codes."""
     parts = F.when(F.trim(value).startswith("["), F.from_json(F.trim(value), "array<string>")).otherwise(F.split(value, "[;,]"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.tables import materialize
 
 ROLES = ("synthetic_candidate", "selected_training", "synthetic_holdout", "real_calibration_training")
 SOURCE_TYPES = ("generated_text", "authentic_text", "licensed_corpus", "public_domain")
@@ -79,6 +80,39 @@ def manifest_row(role: str, source_type: str, language: str) -> Column:
     return first_broken(("role", F.coalesce(c("partition_role") != role, F.lit(True))), ("source_type", F.coalesce(c("source_type") != source_type, F.lit(True))), ("language", F.coalesce((c("lang") != language) | (c("target_lang") != language), F.lit(True))), ("duration", F.coalesce(c("duration") <= 0, F.lit(True))), ("text", blank(c("text"))))
 
 
+def gate_rows(df: DataFrame, role: str, source_type: str, language: str, order: str) -> DataFrame:
+    """df with reason: the first rule that a row of an immutable gate breaks, or null. Of rows with one sample_id or one path (however
+    it is written) the first that keeps the other rules stands, later ones repeat it."""
+    c = F.col
+    rules = first_broken(
+        ("role", F.coalesce(c("partition_role") != role, F.lit(True))),
+        ("source_type", F.coalesce(c("source_type") != source_type, F.lit(True))),
+        ("language", F.coalesce(c("target_lang") != language, F.lit(True))),
+        ("sample_id", blank(c("sample_id"))),
+    )
+    rows = df.withColumns({"__rule": rules, "__path": t.normal_path(c("audio_filepath"))})
+    first = lambda by: F.min(F.when(c("__rule").isNull(), c(order))).over(Window.partitionBy(by))
+    rows = rows.withColumns({"__first_id": first("sample_id"), "__first_path": first("__path")})
+    again = F.when(c("__first_id") < c(order), "duplicate_sample_id").when(c("__first_path") < c(order), "duplicate_audio_filepath")
+    return rows.withColumn("reason", F.coalesce("__rule", again)).drop("__rule", "__path", "__first_id", "__first_path")
+
+
+def eligible_segments(df: DataFrame, excluded: DataFrame, protected: DataFrame, text: str, recording: str, duration: str, least: float, most: float) -> DataFrame:
+    """Rows of other recordings, of a fair duration, with text, without unresolved tags, and with none of four hashes protected.
+
+    protected: view (reference, surface or number_masked) and hash. The text's own hash and that of its squeezed form are looked up among references."""
+    kept = df.where(F.col(duration).between(least, most) & ~blank(F.col(text)) & ~F.col(text).rlike(r"(?U)(?:#[\w-]+|\(\)[\w-]*)"))
+    kept = kept.join(excluded.select(F.col(excluded.columns[0]).alias(recording)).distinct(), recording, "left_anti")
+    whole = t.composed(F.col(text))
+    surface = t.surface_form(whole)
+    views = (("reference", t.fingerprint(whole)), ("reference", t.fingerprint(t.squeezed(whole))), ("surface", t.fingerprint(surface)), ("number_masked", t.fingerprint(t.masked(surface))))
+    cells = F.array(*(F.struct(F.lit(view).alias("view"), h.alias("hash")) for view, h in views))
+    kept = kept.withColumn("__row", F.monotonically_increasing_id()).withColumn("__cells", cells)
+    kept = materialize(kept, "segments")
+    hit = kept.select("__row", F.explode("__cells").alias("c")).select("__row", "c.*").join(protected.select("view", "hash").distinct(), ["view", "hash"], "left_semi").select("__row").distinct()
+    return kept.join(hit, "__row", "left_anti").drop("__row", "__cells")
+
+
 def eligible(df: DataFrame, excluded: DataFrame, protected: DataFrame, text: str, recording: str, duration: str, least: float, most: float) -> DataFrame:
     """Rows of other recordings, of a fair duration, with text, without unresolved tags, and not among the protected hashes."""
     kept = df.where(F.col(duration).between(least, most) & ~blank(F.col(text)) & ~F.col(text).rlike(r"(?U)(?:#[\w-]+|\(\)[\w-]*)"))
