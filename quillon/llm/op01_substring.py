@@ -18,7 +18,7 @@ A word is known by 128 bits, which are its own bytes under 16 of them; a passage
 All words of the spans are removed. Windows are judged on the input.
 
 Null and empty text has no words and removes nothing; documents shorter than a window too. Repeated rows are copies of
-each other. Null keys are keys like others. An empty table gives an empty table. All columns are kept; of clashing names
+each other. Null keys are keys like others. Texts of any length are parsed whole. An empty table gives an empty table. All columns are kept; of clashing names
 n_words, n_removed, kept and spans the operator's own stay. A task holds one batch of documents, or blocks of up to BLOCK passages."""
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ pieces of lengths in (capacity/(k+1), capacity/k], and each of its bins takes ex
 own bins; nothing is shuffled. What is left in open bins when a task ends is strung together, cut at the capacity, and
 the last of it at powers of two, which need no padding. So only bins of the smallest classes are padded.
 
-Null text counts as empty: one piece with the end id. Ties and repeated rows need no rule: pieces are placed in the
+Null text counts as empty: one piece with the end id. Texts of any length, and with runs of any length, are encoded whole. Ties and repeated rows need no rule: pieces are placed in the
 order they arrive. An empty table gives no pieces. Other columns are left out. A task keeps at most capacity ids per class."""
 
 from __future__ import annotations

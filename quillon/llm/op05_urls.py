@@ -8,7 +8,7 @@ hash: each level of a tree is one grouped sum of gradients over binned features,
 
 Null URLs and such without "://" have an empty host and path and no rule; they are judged by the trees like others. Without
 labelled URLs of both kinds the trees give the only kind there is, or allow. Ties of gain go to the first feature and
-lowest bin; repeated rows get equal verdicts. An empty table gives an empty table. Other columns are kept; of clashing
+lowest bin; repeated rows get equal verdicts. URLs of any length are judged whole. An empty table gives an empty table. Other columns are kept; of clashing
 names the operator's own stay."""
 
 from __future__ import annotations

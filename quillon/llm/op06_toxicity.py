@@ -9,7 +9,7 @@ everything else covers all rows.
 
 Null and empty text has no features and severity 0 (nothing to judge). Null labels are not used; a label whose quality
 is null counts as grade 1 if toxic. Of several labels of one id the highest grade counts, of several texts of a labelled id
-the least one. Without labels of both kinds every severity is 0. Repeated rows score alike. An
+the least one. Texts of any length are read whole, in memory in proportion to the longest. Without labels of both kinds every severity is 0. Repeated rows score alike. An
 empty table gives an empty table. All columns are kept; of clashing names the operator's own stay."""
 
 from __future__ import annotations
