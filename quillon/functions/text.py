@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Patterns of the text contract. \b, \w and \s are Unicode-aware by (?U).
-APOSTROPHES = "’‘`´"
 #: What Python's \w holds: letters, all numbers and the underscore; no marks, no other connectors.
 WORD = r"\p{L}\p{N}_"
 NUMBER_MASKS = (
@@ -62,7 +61,7 @@ def _folded(texts: pd.Series) -> pd.Series:
 
 def composed(text: Column) -> Column:
     """NFC. Texts without code points from U+0300 on are in NFC already and stay in the JVM."""
-    return F.coalesce(_nfc(F.when(text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
+    return F.coalesce(_nfc(F.when((F.octet_length(text) != F.length(text)) & text.rlike("[^\\x{0}-\\x{2FF}]"), text)), text)
 
 
 def bare_letters(text: Column) -> Column:
@@ -80,15 +79,16 @@ def squeezed(text: Column) -> Column:
 
 
 def surface_form(text: Column) -> Column:
-    """Apostrophes and hyphens folded, lower case, punctuation to spaces. Give it composed text."""
-    plain = F.translate(text, APOSTROPHES + "-", "'" * len(APOSTROPHES) + " ")
-    return squeezed(F.regexp_replace(F.lower(plain), rf"(?U)[^{WORD}\s]", " "))
+    """Lower case, each run of anything but word characters (apostrophes and hyphens too) one space, trimmed. Give it composed text."""
+    return F.trim(F.regexp_replace(F.lower(text), rf"[^{WORD}]+", " "))
 
 
 def masked(surface: Column) -> Column:
+    """Dates, times, quantities and numbers by their marks. Texts without a digit hold none of them."""
+    marked = surface
     for pattern, mark in NUMBER_MASKS:
-        surface = F.regexp_replace(surface, pattern, mark)
-    return squeezed(surface)
+        marked = F.regexp_replace(marked, pattern, mark)
+    return squeezed(F.when(surface.rlike(r"\p{Nd}"), marked).otherwise(surface))
 
 
 def number_masked(text: Column) -> Column:

@@ -26,7 +26,7 @@ def _composed(spark: SparkSession, sf_dir: str) -> str:
 
 
 def _spark(spark: SparkSession, sf_dir: str) -> SimpleNamespace:
-    surface = "trim(regexp_replace(regexp_replace(lower(translate({x}, '’‘`´-', \"'''' \")), '(?U)[^\\\\p{L}\\\\p{N}_\\\\s]', ' '), '(?U)\\\\s+', ' '))"
+    surface = "trim(regexp_replace(lower({x}), '[^\\\\p{L}\\\\p{N}_]+', ' '))"
     return SimpleNamespace(
         spark=True,
         composed=lambda: _composed(spark, sf_dir),
