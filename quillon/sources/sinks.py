@@ -109,18 +109,18 @@ def forbidden_json(value: Column, forbidden: tuple[str, ...] = PRIVATE) -> Colum
     return value.rlike(r'(?<!\\)"(?:' + "|".join(forbidden) + r')"\s*:')
 
 
-#: What gives a row or a machine away.
-MARKERS = r"gamsv2-|gams9holdout-|/home/|/mnt/|/tmp/"
+#: What gives a machine away.
+MARKERS = ("/home/", "/mnt/", "/tmp/")
 
 
-def event_lines(df: DataFrame) -> DataFrame:
+def event_lines(df: DataFrame, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """value and private: each row as JSON without nulls, with whatever isn't a primitive as a string of JSON; private rows hold a
-    marker of rows or machines and may not be shown. A forbidden column is refused."""
+    marker (of a machine, or of rows, such as the beginnings of ids) and may not be shown. A forbidden column is refused."""
     if found := refuse_private(df.schema):
         raise ValueError(f"events may not hold {found}")
     plain = lambda f: F.to_json(f.name) if isinstance(f.dataType, T.StructType | T.ArrayType | T.MapType) else F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType | T.NumericType | T.BooleanType) else F.col(f"`{f.name}`").cast("string")
     line = F.to_json(F.struct(*(plain(f).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name))))
-    return df.select(line.alias("value")).withColumn("private", F.col("value").rlike(MARKERS))
+    return df.select(line.alias("value")).withColumn("private", F.greatest(F.lit(False), *(F.contains("value", F.lit(m)) for m in markers)))
 
 
 def absolute_paths(df: DataFrame) -> DataFrame:

@@ -147,3 +147,13 @@ def test_augmentations(spark):
     got = sorted(map(tuple, audio.augmentation_issues(spark.createDataFrame(rows, ddl), sources, ["clean", "slow"]).collect()))
     assert got == sorted([("b", "slow", x) for x in ("duration_ratio", "rms_match", "peak_limit", "duplicate_hash")] + [("a", "slow", "duplicate_hash"), ("a", "slow", "duplicate_output_path")] + [("q", "odd", x) for x in ("unknown_source", "unknown_profile", "clipping_fraction", "active_fraction", "duplicate_output_path")] + [("c", "clean", "not_once_for_source")])
     assert [tuple(r) for r in audio.voice_coverage(sources, spark.createDataFrame([("a",), ("z",)], "source_id string"), "source_id").collect()] == [("z", 0)]
+
+
+def test_events_are_plain_and_private_ones_are_told(spark):
+    df = spark.createDataFrame([("a", None, [1, 2], {"k": 1}, 1.5), ("see /home/me", 3, None, None, None), ("row-7", 1, None, None, None)], "stage string, step int, xs array<int>, m map<string, int>, share double")
+    got = [(json.loads(r.value), r.private) for r in sinks.event_lines(df, (*sinks.MARKERS, "row-")).collect()]
+    assert got == [({"stage": "a", "xs": "[1,2]", "m": '{"k":1}', "share": 1.5}, False), ({"stage": "see /home/me", "step": 3}, True), ({"stage": "row-7", "step": 1}, True)]
+    with pytest.raises(ValueError):
+        sinks.event_lines(df.withColumn("text", F.lit("x")))
+    rows = spark.createDataFrame([('{"a": [{"text": 1}]}',), ('{"a": "\\"text\\": 1"}',), (None,)], "j string")
+    assert [r[0] for r in rows.select(sinks.forbidden_json(F.col("j"))).collect()] == [True, False, None]
