@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -146,3 +147,13 @@ def test_surface_form_has_the_word_class_of_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
     got = [r["s"] for r in df.select("i", t.surface_form(t.composed(F.col("x"))).alias("s")).orderBy("i").collect()]
     assert got == want
+
+
+@pytest.mark.parametrize("cells", [1, 60, 100_000])
+def test_edits_of_pairs_equal_one_by_one(cells):
+    rng = random.Random(5)
+    made = lambda: np.array([rng.randrange(4) for _ in range(rng.randrange(12))], dtype=np.int64)
+    sides = [(made(), made()) for _ in range(200)]
+    want = [m.edits(list(r), list(h)) for r, h in sides]
+    assert [tuple(x) for x in m.edits_of_pairs([r for r, _ in sides], [h for _, h in sides], cells).tolist()] == want
+    assert m.edits_of_pairs([], []).shape == (0, 3)
