@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -31,6 +33,15 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def release() -> None:
+    """Give back what earlier tasks of this worker have freed: Python workers live on, and each stage's peak would stay with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, small_batches, table, texts_in_row, texts_of, with_row
+from .common import carried, materialize, release, small_batches, table, texts_in_row, texts_of, with_row
 from .parsing import OTHER_BASE, factors, gram_hashes, longest_matches, window_anchors, word_hashes
 
 WINDOW = 35
@@ -111,6 +111,7 @@ def _parse(window: int, chunk: int):
     """Rows come sorted by anchor; whole blocks are indexed together up to `chunk` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[tuple] = []
         size, last = 0, None
 
@@ -137,6 +138,7 @@ def _parse(window: int, chunk: int):
 
 def _remove(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n_words, n_removed, kept, spans = [], [], [], []
             for t, found in zip(texts_in_row(batch, text), batch.column("__spans").to_pylist(), strict=True):

@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import fast_ids
-from .common import small_batches, table
+from .common import release, small_batches, table
 from .op07_bpe import vocabulary
 
 CAPACITY = 2048
 END = 1
+#: Ids of placed pieces that a task gathers before it gives them on.
+HELD = 250_000
 #: Rests below this length are not cut further.
 SMALL = 128
 FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_le", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -47,13 +49,14 @@ class Bins:
     """Bins of one task. A piece is (key, start, ids, doc_tokens); a placed piece has its sequence and offset too."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.open, self.out = capacity, first, defaultdict(list), []
+        self.capacity, self.next, self.open, self.out, self.held = capacity, first, defaultdict(list), [], 0
 
     def close(self, pieces: list) -> None:
         at = 0
         for p in pieces:
             self.out.append((*p, self.next, at))
             at += len(p[2])
+        self.held += at
         self.next += 1
 
     def add(self, piece: tuple) -> None:
@@ -88,10 +91,11 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         bins = Bins(capacity, TaskContext.get().partitionId() << 40)
 
         def told(kind) -> pa.RecordBatch:
-            rows, bins.out = bins.out, []
+            rows, bins.out, bins.held = bins.out, [], 0
             cols = [[p[0] for p in rows], [p[1] for p in rows], [len(p[2]) for p in rows], [p[2].tobytes() for p in rows], [p[3] for p in rows], [p[4] for p in rows], [p[5] for p in rows]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [kind, *(t for _, t in FIELDS)], strict=True)], [key, *(n for n, _ in FIELDS)])
 
@@ -104,7 +108,7 @@ def pack(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", capa
                 for n in cut(len(ids), capacity):
                     bins.add((k, start, ids[start : start + n], len(ids)))
                     start += n
-                if len(bins.out) >= 4000:
+                if len(bins.out) >= 4000 or bins.held >= HELD:
                     yield told(kind)
         bins.finish()
         if bins.out:

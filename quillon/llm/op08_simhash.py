@@ -14,10 +14,11 @@ the smallest id that is not null, or null. Repeated rows and ties give equal res
 Texts of any length are taken whole, in memory in proportion to the longest. Other columns are left out; a key that is called
 like a column of the result is refused.
 
-Near copies in the pipeline are another matter (near_copies): texts whose sets of COPY_SHINGLE words have a Jaccard
-similarity of at least SIMILAR. Fingerprints of such pairs differ in about ten bits of 64, where no covering code tells
-them from chance, so this stage takes another method: candidates share one of BANDS bands of BAND minima (a pair at 0.8 is
-missed with probability 0.0002), and the sets of a band are compared exactly. A band of many sets is dealt to groups of
+Near copies in the pipeline (near_copies) are texts whose sets of COPY_SHINGLE words have a Jaccard similarity of at least SIMILAR.
+Fingerprints and their links by anchors are taken as above; texts that these links join are one band, and an exact check of the
+sets follows. Fingerprints of pairs at 0.8 differ in about ten bits of 64, where no covering code tells them from chance, so sets
+also share one of BANDS bands of BAND minima (a pair at 0.8 is missed with probability 0.0002), and the sets of every band are
+compared exactly. A band of many sets is dealt to groups of
 about GROUP, each with the band's first set, its pivot; sets that aren't linked to the pivot within their group are then
 compared with all sets of the band, GROUP by GROUP. Two sets that are both linked to the pivot need no comparison. So no link is lost, a
 task holds twice GROUP sets, and a large group of near copies costs its size and not its square."""
@@ -350,7 +351,7 @@ def _across(similarity: float):
     return run
 
 
-def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR, group: int = GROUP) -> DataFrame:
+def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILAR, group: int = GROUP, distance: int = DISTANCE) -> DataFrame:
     """key (of any type that can be ordered) and component_id (smallest key reachable) of the rows that have a key; texts without words are equal."""
     small_batches(df.sparkSession)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
@@ -359,16 +360,21 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [shingles(t) for t in texts_of(batch, "__text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(x) for x in said], pa.int64()), pa.array([bands(x) for x in said], pa.list_(pa.int64()))], ["__key", "name", "bands"])
+            fps = [fingerprint(t) for t in texts_of(batch, "__text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_name(x) for x in said], pa.int64()), pa.array([bands(x) for x in said], pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["__key", "name", "bands", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             said = [shingles(t) for t in texts_of(batch, "__text")]
             yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in said], pa.int64()), pa.array([x.view(np.int64) for x in said], pa.list_(pa.int64()))], ["name", "said"])
 
-    own = materialize(rows.mapInArrow(named, f"__key {kind}, name long, bands array<long>"), "names")
+    own = materialize(rows.mapInArrow(named, f"__key {kind}, name long, bands array<long>, fp long"), "names")
     least = materialize(own.groupBy("name").agg(F.min("__key").alias("__least"), F.first("bands").alias("bands")), "sets")
-    cells = least.select("name", F.explode("bands").alias("band"))
+    # texts that links of fingerprints join are a band too; texts without words have no set to compare
+    prints = materialize(own.where(F.size("bands") > 0).select("name", "fp").distinct(), "fingerprints")
+    linked = components(links(prints.select("fp").distinct(), distance))
+    prints = prints.join(linked, prints["fp"] == linked["node"], "left").select("name", F.xxhash64(F.lit(BANDS), F.coalesce("root", "fp")).alias("band"))
+    cells = materialize(least.select("name", F.explode("bands").alias("band")).unionAll(prints).distinct(), "cells")
     met = cells.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("name")).alias("who"), F.min("name").alias("pivot")).where("n > 1")
     met = met.groupBy("n", "who", "pivot").agg(F.min("band").alias("band"))  # bands with the same members are compared once
     met = materialize(met.select("band", "pivot", F.ceil(F.col("n") / group).cast("int").alias("groups")), "bands")

@@ -545,3 +545,28 @@ def test_shards_written(docs, tmp_path):
     op10_shard.write_shards(op10_shard.shuffle_shards(docs.select("doc_id", "text"), shards=3), str(tmp_path / "out"), files=4)
     back = docs.sparkSession.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 3
+
+
+def test_near_copies_compare_what_the_links_of_fingerprints_join(spark, monkeypatch):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), " ".join(reversed(base)), "", None]
+    made, links = [], op08_simhash.links
+
+    def seen(fps, *args):
+        made.extend(r["fp"] for r in fps.collect())
+        return links(fps, *args)
+
+    monkeypatch.setattr(op08_simhash, "links", seen)
+    got = {r["doc_id"]: r["component_id"] for r in op08_simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    assert sorted(made) == sorted({op08_simhash.fingerprint(t) for t in texts[:3]})
+
+
+def test_packing_counts_the_ids_that_a_task_holds():
+    bins = op03_packing.Bins(8, 0)
+    for n in (8, 4, 4, 2):
+        bins.add((1, 0, np.zeros(n, dtype="<u4"), n))
+    assert bins.held == 16 == sum(len(p[2]) for p in bins.out)
+    bins.finish()
+    assert bins.held == 18
