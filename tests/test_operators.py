@@ -1,3 +1,4 @@
+import random
 import io
 import json
 import tarfile
@@ -207,3 +208,30 @@ def test_patience_keeps_state(spark, tmp_path):
     q = events.patience(curve).writeStream.format("memory").queryName("p").outputMode("update").option("checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
     q.awaitTermination(90)
     assert [tuple(r) for r in spark.table("p").collect()] == [("a", 2, 5, True)]
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 30, 700):
+        a = rng.integers(-(2**63), 2**63, n, dtype=np.int64)
+        for kept in (0, n // 2, n):
+            b = np.concatenate([a[:kept], rng.integers(-(2**63), 2**63, n // 3, dtype=np.int64)])
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            found = similarity.least_difference(similarity.parity(a), similarity.parity(b))
+            assert found <= apart and found == similarity.least_difference(similarity.parity(b), similarity.parity(a))
+            assert found >= min(apart, 2 * len(a), 2 * len(b)) // 3 - 1  # folded to the places of the smaller
+
+
+def test_similar_pairs_send_no_whole_sets_of_rows_that_only_meet(spark, monkeypatch):
+    """Rows that share their rarest members but are far apart are no candidates."""
+    rng = random.Random(8)
+    rows = [(i, [*range(1000, 1012), *(rng.randrange(10**9) for _ in range(100))]) for i in range(40)] + [(40, list(range(100))), (41, list(range(98)))]
+    counts, held = {}, similarity.materialize
+
+    def counted(df, label):
+        counts[label] = (made := held(df, label)).count()
+        return made
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    got = similarity.similar_pairs(spark.createDataFrame(rows, "id long, members array<bigint>"), 0.8).collect()
+    assert [(r["left"], r["right"], r["shared"]) for r in got] == [(40, 41, 98)] and counts["candidates"] == 1
