@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as m
 from ..functions import text as t
 from ..operators import greedy, reports, selection
-from ..sources.tables import pairs, table
+from ..sources.tables import materialize, pairs, table
 from . import duck
 
 
@@ -131,7 +131,9 @@ def capped_turns(spark, sf_dir):
     step = lambda d, n: F.floor(m.percent(d, n) / 5)
     rank = F.array(F.when(F.trim("hypothesis") == "", 0).otherwise(1).cast("long"), -step(F.col("cd"), F.length("reference")), -step(total, F.col("n")), -F.floor(F.col("e.deletions") / 10))
     tags = F.array("role", F.when(F.col("n") < 40, "short").when(F.col("n") < 120, "medium").otherwise("long"), F.when(F.length("hypothesis") % 3 == 0, "third").otherwise("other"))
-    rows = greedy.category_candidates(p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), rank.alias("rank"), tags.alias("tags")), 40)
+    # written, as the candidates and their number ask for the rows several times, and edits would be counted each time
+    scored = materialize(p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), rank.alias("rank"), tags.alias("tags")), "scored")
+    rows = materialize(greedy.category_candidates(scored, 40), "candidates")
 
     def kernel(found):
         ranked = [r | {"rank": tuple(r["rank"]), "tags": list(r["tags"])} for r in found.to_dict("records")]
