@@ -3,6 +3,8 @@ import io
 import json
 import tarfile
 import wave
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -41,6 +43,21 @@ def test_representatives_and_capped_pairs(spark):
     assert [tuple(r) for r in similarity.capped_pairs(cells, cap=3).collect()] == [(1, 2, 1)]
 
 
+def test_capped_pairs_shuffle_members_once(spark, capsys):
+    rng = random.Random(4)
+    cells = sorted({(i, f"m{rng.randrange(60) ** 2 // 40}") for i in range(90) for _ in range(3)} | {(i, f"passage{k}") for i in (3, 5, 7) for k in range(20)})
+    holders = defaultdict(list)
+    for i, m in cells:
+        holders[m].append(i)
+    want = Counter(pair for ids in holders.values() if len(ids) <= 5 for pair in combinations(ids, 2))
+    assert max(map(len, holders.values())) > 6 and min(map(len, holders.values())) == 1
+    made = similarity.capped_pairs(spark.createDataFrame(cells, "id long, member string").repartition(3), cap=5)
+    made.explain()  # before it runs: the plan once
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(member") == 1 and "Join" not in plan
+    assert {(r["left"], r["right"]): r["shared"] for r in made.collect()} == want
+
+
 def test_quota_and_caps():
     rows = [{"id": i, "rank": -i, "tags": ["a"] if i % 2 else ["b", "c"]} for i in range(10, 0, -1)]
     assert [r["id"] for r in selection.by_quota(rows, 4, {"a": 2})] == [9, 7, 10, 8]
