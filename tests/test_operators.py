@@ -252,3 +252,36 @@ def test_similar_pairs_send_no_whole_sets_of_rows_that_only_meet(spark, monkeypa
     monkeypatch.setattr(similarity, "materialize", counted)
     got = similarity.similar_pairs(spark.createDataFrame(rows, "id long, members array<bigint>"), 0.8).collect()
     assert [(r["left"], r["right"], r["shared"]) for r in got] == [(40, 41, 98)] and counts["candidates"] == 1
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.9])
+def test_near_sets_have_an_equal_part(threshold):
+    rng = random.Random(5)
+    for _ in range(3000):
+        n = rng.choice([*range(1, 40), 150, 700])
+        a = rng.sample(range(-(10**12), 10**12), n)
+        b = [*a[rng.randrange(1 + n // 8) :], *rng.sample(range(2 * 10**12, 3 * 10**12), rng.randrange(2 + n // 8))]
+        parts = [set(zip(*(x.tolist() for x in similarity.parts_of(np.array(s, dtype=np.int64), threshold)), strict=True)) for s in (a, b)]
+        if len(set(a) & set(b)) >= threshold * len(set(a) | set(b)) - 1e-12:
+            (x, y) = parts if len(a) <= len(b) else parts[::-1]
+            assert {h for h, _ in x} & {h for h, smaller in y if not smaller}
+
+
+def test_sets_of_common_words_that_are_not_near_do_not_meet(spark, monkeypatch):
+    """Sets from a small stock of words share rare ones, which is no reason to compare them."""
+    rng = random.Random(9)
+    rows = [(i, rng.sample(range(400), rng.randrange(90, 110))) for i in range(700)]
+    for i, (_, own) in enumerate(rows[:60]):
+        gone = rng.randrange(8)
+        rows.append((1000 + i, [*own[gone:], *(401 + k for k in range(rng.randrange(5)))]))
+    met, held = {}, similarity.materialize
+
+    def counted(df, label):
+        met[label] = (made := held(df, label)).count()
+        return made
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    words = [(i, [f"w{x}" for x in own]) for i, own in rows]
+    got = {(r["left"], r["right"]) for r in similarity.similar_pairs(spark.createDataFrame(words, "id long, members array<string>"), 0.9).collect()}
+    want = {(a, b) for (a, x), (b, y) in combinations(((i, set(x)) for i, x in rows), 2) if len(x & y) >= 0.9 * len(x | y) - 1e-12}
+    assert got == want and 0 < len(want) < 60 and met["met"] < 300
