@@ -285,3 +285,9 @@ def test_sets_of_common_words_that_are_not_near_do_not_meet(spark, monkeypatch):
     got = {(r["left"], r["right"]) for r in similarity.similar_pairs(spark.createDataFrame(words, "id long, members array<string>"), 0.9).collect()}
     want = {(a, b) for (a, x), (b, y) in combinations(((i, set(x)) for i, x in rows), 2) if len(x & y) >= 0.9 * len(x | y) - 1e-12}
     assert got == want and 0 < len(want) < 60 and met["met"] < 300
+
+
+def test_only_sets_of_pairs_are_sent(spark):
+    sets = spark.range(500).select("id", F.array("id", F.col("id") + 1).alias("members"))
+    got = [r["id"] for r in similarity._of_pairs(sets, spark.createDataFrame([(3, 400), (3, 7)], "id long, id2 long")).collect()]
+    assert {3, 7, 400} <= set(got) and len(got) < 10
