@@ -100,6 +100,12 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: files of ids and codes are small for their rows, and what is exploded from them is taken
+    to be as small, so that a side of many rows would pass the driver."""
+    return df.hint("merge")
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join with a broadcast only if the right side's size has been checked; else a shuffle join that AQE may split."""
     return left.join(F.broadcast(right) if bounded(right) else right, on, how)

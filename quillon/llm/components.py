@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffled
 
 EDGES = "node long, root long"
 
@@ -62,14 +62,14 @@ def _large_star(e: DataFrame) -> DataFrame:
     """Every node's larger neighbours hang from the smallest of the node and its neighbours."""
     around = e.select(F.col("root").alias("x"), F.col("node").alias("y")).unionAll(e.select("node", "root"))
     least = materialize(around.groupBy("x").agg(F.least("x", F.min("y")).alias("least")), "least")  # a plain shuffle in the join, which AQE can split at a hub
-    hung = e.join(least, e["root"] == least["x"]).select("node", F.col("least").alias("root"))
+    hung = e.join(shuffled(least), e["root"] == least["x"]).select("node", F.col("least").alias("root"))
     return materialize(hung.distinct().mapInArrow(_contract, EDGES), "edges")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours hang from the smallest of these."""
     least = materialize(e.groupBy(F.col("node").alias("x")).agg(F.min("root").alias("least")), "least")
-    hung = e.join(least, e["node"] == least["x"]).where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
+    hung = e.join(shuffled(least), e["node"] == least["x"]).where("root <> least").select(F.col("root").alias("node"), F.col("least").alias("root"))
     return materialize(hung.unionAll(least.select("x", "least")).distinct().mapInArrow(_contract, EDGES), "edges")
 
 

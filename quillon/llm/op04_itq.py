@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_checked, materialize, small_batches, table
+from .common import join_checked, materialize, shuffled, small_batches, table
 from .components import components
 
 SAMPLE = 4_096
@@ -122,7 +122,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, tables: int = TABLE
     for t in reversed(range(tables)):
         first = F.when(F.bit_count(cut(differ, t)) <= 1, F.lit(t)).otherwise(first)
     on = (F.col("t") == F.col("t2")) & (F.col("part") == F.col("part2")) & (F.col("d") == F.col("d2")) & (F.col("node") < F.col("node2")) & (F.bit_count(differ) <= near) & (first == F.col("t"))
-    pairs = kept.join(asked, on).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    pairs = kept.join(shuffled(asked), on).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
     left = distinct.select(F.col("node").alias("a"), F.col("vector").alias("va"))
     right = distinct.select(F.col("node").alias("b"), F.col("vector").alias("vb"))
@@ -137,7 +137,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD, tables: int = TABLE
                 ok = pa.array(cosine >= threshold)
                 yield pa.RecordBatch.from_arrays([some.column("a").filter(ok), some.column("b").filter(ok)], ["a", "b"])
 
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long"), "links")
+    return materialize(pairs.join(shuffled(left), "a").join(shuffled(right), "b").select("a", "b", "va", "vb").mapInArrow(rerank, "a long, b long"), "links")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -157,11 +157,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     pairs = links(distinct.select("node", F.size("vector").alias("d"), "vector"), threshold)
     found = components(pairs)
     both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(distinct.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
-    known = distinct.select("v1", "v2", "node", "size", "least").join(degree, "node", "left").join(found, "node", "left")
+    degree = both.join(shuffled(distinct.select(F.col("node").alias("b"), "size")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("others"))
+    known = distinct.select("v1", "v2", "node", "size", "least").join(shuffled(degree), "node", "left").join(shuffled(found), "node", "left")
     smallest = known.where("root is not null").groupBy("root").agg(F.min("least").alias("smallest"))
-    known = known.join(smallest, "root", "left").select("v1", "v2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("smallest", "least").alias("c"))
-    out = rows.select("__key", "v1", "v2").join(known, ["v1", "v2"], "left")
+    known = known.join(shuffled(smallest), "root", "left").select("v1", "v2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("smallest", "least").alias("c"))
+    out = rows.select("__key", "v1", "v2").join(shuffled(known), ["v1", "v2"], "left")
     out = out.select(F.col("__key").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "__key").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
 

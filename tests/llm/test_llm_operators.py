@@ -204,6 +204,24 @@ def test_itq_searches_every_length(spark):
     assert got[705][1] == 405 and got[706][1] == 406 and got[0] == (0, 0)
 
 
+def test_itq_broadcasts_no_side_that_grows(spark, monkeypatch, capsys):
+    """Codes are exploded over tables and flips: their file is small, their rows are not."""
+    held, plans = op04_itq.materialize, []
+
+    def planned(df, label):
+        if label == "links":
+            df.explain()  # before it runs: the plan once
+            plans.append(capsys.readouterr().out)
+        return held(df, label)
+
+    monkeypatch.setattr(op04_itq, "materialize", planned)
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    op04_itq.near_duplicates(df).explain()
+    plans.append(capsys.readouterr().out)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 URLS = ["http://a.example.com/en/x", "https://www.example.com/en/", "HTTP://WWW.Example.COM/en/1?a=/es/", "http://x.net/es/1", "http://net/fr/", "http://x.net", "http://com", "http://xcom/", "no url", None, "", "://h/p?q#f", "a://b.com/x://c.net/es/", "http://b.org/" + "9" * 3000, "http://x.net/de/?#", "http://x\n.com/a\nb"]
 
 
